@@ -21,10 +21,9 @@ def value_shares(
 
     The grand total is a one-row scalar over the already aggregated counts.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counted.agg(F.sum("n_rows")).scalar()
     extra = [expr.alias(name) for name, expr in (measures or {}).items()]
     table = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *extra)
+    total = table.agg(F.sum("n_rows")).scalar()
     return table.withColumn("share", safe_div(F.col("n_rows"), total))
 
 
@@ -79,14 +78,14 @@ def histogram(
         raw = F.floor(F.try_divide(F.col("_x") - low, step))
         slot = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1))
     counts = (
-        rows.withColumn("bin", slot.cast("int"))
+        rows.withColumn("bin", slot.cast("long"))
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
     table = counts
     if width is None and fill_empty:
         groups = counts.select(*by).distinct() if by else counts.select(F.lit(1).alias("_g")).limit(1)
-        spine = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        spine = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")))
         table = join_null_safe(spine.select(*by, "bin"), counts, [*by, "bin"], "left").fillna(
             0, subset=["n_rows"]
         )
