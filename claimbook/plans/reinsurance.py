@@ -144,16 +144,25 @@ def covered(df: DataFrame, periods: Sequence[str] = COVERED_PERIODS) -> DataFram
     return df.filter(F.col("period").isin(list(periods)))
 
 
+def _require_keys(by: Sequence[str], keys: Sequence[str]) -> None:
+    """Refuse a breakdown finer than the snapshot groups: it would change them."""
+    finer = [c for c in by if c not in keys]
+    if finer:
+        raise ValueError(f"{finer} are not among the snapshot keys {list(keys)}")
+
+
 def report_lag(
     df: DataFrame, keys: Sequence[str] = EXCESS_KEYS, by: Sequence[str] = ("period",)
 ) -> DataFrame:
     """Mean maturity and row count at first evaluation, negative ages left out.
 
-    Sums and counts per group and date are combined before any group meets.
+    ``by`` are grouping keys of the run. Sums and counts per group and date are
+    combined before any group meets.
     """
+    _require_keys(by, keys)
     at_first = totals_at(
         df,
-        [*keys, *[c for c in by if c not in keys]],
+        list(keys),
         "evaluation_date",
         {"_months": F.col("maturity"), "_rows": F.lit(1)},
         which="first",
@@ -191,11 +200,11 @@ def latest_diagonal(
         raise ValueError("count_rule is 'rows' or 'ceded'")
     by = list(by)
     derived = {"accident_year", "maturity_bucket", "maturity"}
-    group = [*keys, *[c for c in by if c not in keys and c not in derived]]
+    _require_keys([c for c in by if c not in derived], keys)
     counted = F.col("is_ceded") if count_rule == "ceded" else F.lit(1)
     latest = totals_at(
         df,
-        group,
+        list(keys),
         "evaluation_date",
         {
             "incurred": F.col("incurred_loss"),
