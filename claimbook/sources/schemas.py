@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(text_fields: str) -> T.StructType:
-    return T.StructType.fromDDL(text_fields)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "DOUBLE": T.DoubleType(),
+    "INT": T.IntegerType(),
+    "STRING": T.StringType(),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Schema from ``name TYPE, name TYPE``; needs no running session."""
+    pairs = [field.strip().rsplit(" ", 1) for field in fields.split(",")]
+    return T.StructType([T.StructField(n.strip("`"), _TYPES[kind]) for n, kind in pairs])
 
 
 CLAIMS = _schema("hhld_id BIGINT, clm_dates DATE, pd_amt DOUBLE, aft_ind INT")
