@@ -11,13 +11,62 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from claimbook.sources.tables import read_table
 
 AS_OF = dt.date(2001, 1, 1)
 VALUATION_YEAR = 2002
 
 
+_LONG, _INT, _DOUBLE, _TEXT = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
+_STAMP = T.TimestampNTZType()
+
+# Declared types of the tables read here: no footer is opened to plan a query.
+SCHEMAS = {
+    "nation": {"n_nationkey": _INT, "n_name": _TEXT, "n_regionkey": _INT},
+    "customer": {
+        "c_custkey": _LONG,
+        "c_name": _TEXT,
+        "c_nationkey": _INT,
+        "c_acctbal": _DOUBLE,
+        "c_mktsegment": _TEXT,
+    },
+    "orders": {
+        "o_orderkey": _LONG,
+        "o_custkey": _LONG,
+        "o_orderstatus": _TEXT,
+        "o_totalprice": _DOUBLE,
+        "o_orderdate": _STAMP,
+        "o_orderpriority": _TEXT,
+    },
+    "lineitem": {
+        "l_orderkey": _LONG,
+        "l_partkey": _LONG,
+        "l_suppkey": _LONG,
+        "l_linenumber": _INT,
+        "l_quantity": _DOUBLE,
+        "l_extendedprice": _DOUBLE,
+        "l_discount": _DOUBLE,
+        "l_tax": _DOUBLE,
+        "l_returnflag": _TEXT,
+        "l_linestatus": _TEXT,
+        "l_shipdate": _STAMP,
+    },
+    "events": {
+        "event_id": _LONG,
+        "ts": _STAMP,
+        "user_id": _LONG,
+        "event_type": _TEXT,
+        "value": _DOUBLE,
+        "props": _TEXT,
+    },
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    schema = T.StructType([T.StructField(n, kind) for n, kind in SCHEMAS[name].items()])
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,9 +58,29 @@ def histogram(
     groups present are listed with count 0. With ``width`` the bins start at
     multiples of the width from ``origin`` and only bins that occur are listed.
     ``share`` is ``"all"`` (over all groups) or ``"group"``.
+
+    Two passes: one row with range and total, then the counts.
     """
     if share not in (None, "all", "group"):
         raise ValueError("share is None, 'all' or 'group'")
+    table, total = _binned(df, col, bins, width, by, limits, origin, fill_empty)
+    whole = {"all": F.lit(total), "group": F.col("n_group")}.get(share)
+    if whole is not None:
+        table = table.withColumn("share", safe_div(F.col("n_rows"), whole))
+    return table.drop("n_group", "n_tallest")
+
+
+def _binned(
+    df: DataFrame,
+    col: str,
+    bins: int | None,
+    width: float | None,
+    by: Sequence[str],
+    limits: Limits | None,
+    origin: float,
+    fill_empty: bool,
+) -> tuple[DataFrame, int]:
+    """Histogram with each group's row count and tallest bin, and the grand total."""
     by = list(by)
     x = F.col(col).cast("double")
     rows = (
@@ -68,54 +88,59 @@ def histogram(
         .select(*by, x.alias("_x"))
         .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     )
+    facts = rows.agg(
+        F.min("_x").alias("low"), F.max("_x").alias("high"), F.count(F.lit(1)).alias("n")
+    ).first()
     if width is not None:
-        step, start = F.lit(float(width)), F.lit(float(origin))
-        slot = F.floor((F.col("_x") - start) / step)
+        start, step = float(origin), float(width)
+        slot = F.floor((F.col("_x") - F.lit(start)) / F.lit(step))
     else:
         bins = bins or 30
-        low, high = rows.agg(F.min("_x")).scalar(), rows.agg(F.max("_x")).scalar()
-        start, step = low, (high - low) / F.lit(float(bins))
-        raw = F.floor(F.try_divide(F.col("_x") - low, step))
-        slot = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1))
+        start = facts["low"] if facts["n"] else 0.0
+        step = (facts["high"] - facts["low"]) / float(bins) if facts["n"] else 0.0
+        slot = F.floor((F.col("_x") - F.lit(start)) / F.lit(step)) if step else F.lit(0)
+        slot = F.least(slot, F.lit(bins - 1))
     counts = (
         rows.withColumn("bin", slot.cast("long"))
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    table = counts
+    # One small map of bin to count per group, opened up again with every bin.
+    packed = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_cells"),
+        F.sum("n_rows").alias("n_group"),
+        F.max("n_rows").alias("n_tallest"),
+    )
     if width is None and fill_empty:
-        groups = counts.select(*by).distinct() if by else counts.select(F.lit(1).alias("_g")).limit(1)
-        spine = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")))
-        table = join_null_safe(spine.select(*by, "bin"), counts, [*by, "bin"], "left").fillna(
-            0, subset=["n_rows"]
-        )
-    table = table.withColumns(
-        {"bin_start": start + F.col("bin") * step, "bin_end": start + (F.col("bin") + 1) * step}
-    ).select(*by, "bin", "bin_start", "bin_end", "n_rows")
-    if share == "all" or (share == "group" and not by):
-        total = counts.agg(F.sum("n_rows")).scalar()
-        table = table.withColumn("share", safe_div(F.col("n_rows"), total))
-    elif share == "group":
-        totals = counts.groupBy(*by).agg(F.sum("n_rows").alias("_n"))
-        table = (
-            join_null_safe(table, totals, by)
-            .withColumn("share", safe_div("n_rows", "_n"))
-            .drop("_n")
-        )
-    return table
+        every = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
+    else:
+        every = F.map_keys("_cells")
+    table = (
+        packed.filter("n_group is not null")
+        .select("*", F.explode(every).alias("bin"))
+        .withColumn("n_rows", F.coalesce(F.try_element_at("_cells", F.col("bin")), F.lit(0)))
+    )
+    first = F.lit(start)
+    return (
+        table.select(
+            *by,
+            "bin",
+            (first + F.col("bin") * F.lit(step)).alias("bin_start"),
+            (first + (F.col("bin") + 1) * F.lit(step)).alias("bin_end"),
+            "n_rows",
+            "n_group",
+            "n_tallest",
+        ),
+        facts["n"],
+    )
 
 
 def binned_by_category(
     df: DataFrame, category: str, value: str, bins: int = 30, limits: Limits | None = None
 ) -> DataFrame:
     """Histogram per category with heights scaled to each category's tallest bin."""
-    table = histogram(df, value, bins=bins, by=[category], limits=limits)
-    tallest = table.groupBy(category).agg(F.max("n_rows").alias("_tallest"))
-    return (
-        join_null_safe(table, tallest, [category])
-        .withColumn("height", safe_div("n_rows", "_tallest"))
-        .drop("_tallest")
-    )
+    table, _ = _binned(df, value, bins, None, [category], limits, 0.0, True)
+    return table.withColumn("height", safe_div("n_rows", "n_tallest")).drop("n_group", "n_tallest")
 
 
 def box_stats(

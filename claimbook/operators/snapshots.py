@@ -76,10 +76,7 @@ def totals_at(
         .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()])
     )
     pick = F.max_by if which == "latest" else F.min_by
-    packed = F.struct(*[F.col(name) for name in measures])
     extreme = F.max(at) if which == "latest" else F.min(at)
-    return (
-        per_date.groupBy(*keys)
-        .agg(pick(packed, F.col(at)).alias("_totals"), extreme.alias(at))
-        .select(*keys, at, *[F.col(f"_totals.{name}").alias(name) for name in measures])
-    )
+    # One pick per measure: flat buffers keep this a hash aggregate.
+    picked = [pick(name, at).alias(name) for name in measures]
+    return per_date.groupBy(*keys).agg(extreme.alias(at), *picked)
