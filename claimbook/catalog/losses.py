@@ -9,6 +9,7 @@ from claimbook.catalog.registry import query
 from claimbook.catalog.views import VALUATION_YEAR, with_views
 from claimbook.operators import distributions as dist
 from claimbook.plans import reinsurance as re
+from claimbook.sources.scratch import materialize
 
 
 def _primary(spark, sf_dir):
@@ -27,6 +28,12 @@ def _trips(spark, sf_dir):
     return re.clean_trips(v.trips(spark, sf_dir))
 
 
+def _latest(spark, sf_dir, *cols):
+    """Latest-valuation rows, written once because a histogram reads them twice."""
+    developed = re.develop(v.loss_run_primary(spark, sf_dir))
+    return materialize(developed.filter("is_latest = 1").select(*cols))
+
+
 def _rounded(df, digits, *cols):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -356,7 +363,7 @@ def loss_cost_at_common_valuation(spark, sf_dir):
         FROM s LEFT JOIN h ON h.accident_year = s.accident_year AND h.bin = s.bin"""),
 )
 def maturity_distribution_by_year(spark, sf_dir):
-    latest = re.develop(v.loss_run_primary(spark, sf_dir)).filter("is_latest = 1")
+    latest = _latest(spark, sf_dir, "accident_year", "maturity")
     table = dist.histogram(latest, "maturity", bins=20, by=["accident_year"])
     return table.select("accident_year", "bin", "n_rows")
 
@@ -378,7 +385,7 @@ def maturity_distribution_by_year(spark, sf_dir):
         FROM s LEFT JOIN h ON h.accident_year = s.accident_year AND h.bin = s.bin"""),
 )
 def incurred_ridges_by_year(spark, sf_dir):
-    latest = re.develop(v.loss_run_primary(spark, sf_dir)).filter("is_latest = 1")
+    latest = _latest(spark, sf_dir, "accident_year", "incurred_loss")
     labelled = latest.withColumn("accident_year", F.col("accident_year").cast("string"))
     table = dist.binned_by_category(labelled, "accident_year", "incurred_loss", bins=10)
     return _rounded(table.select("accident_year", "bin", "n_rows", "height"), 6, "height")

@@ -12,6 +12,7 @@ from claimbook.functions import semantics as sem
 from claimbook.operators import distributions as dist
 from claimbook.operators import quality, reshape, timeseries
 from claimbook.plans import households, reinsurance
+from claimbook.sources.scratch import materialize
 
 
 def _rounded(df, digits, *cols):
@@ -22,8 +23,10 @@ def _primary(spark, sf_dir):
     return reinsurance.value_losses(v.loss_run_primary(spark, sf_dir), *reinsurance.PRIMARY_LAYER)
 
 
-def _developed(spark, sf_dir):
-    return reinsurance.develop(v.loss_run_primary(spark, sf_dir))
+def _latest(spark, sf_dir, *cols):
+    """Latest-valuation rows, written once because a histogram reads them twice."""
+    developed = reinsurance.develop(v.loss_run_primary(spark, sf_dir))
+    return materialize(developed.filter("is_latest = 1").select(*cols))
 
 
 def _trips(spark, sf_dir):
@@ -387,7 +390,7 @@ def histogram_share_of_all(spark, sf_dir):
         FROM flagged_primary WHERE is_latest = 1 GROUP BY 1, 2, 3"""),
 )
 def histogram_fixed_width(spark, sf_dir):
-    latest = _developed(spark, sf_dir).filter("is_latest = 1")
+    latest = _latest(spark, sf_dir, "incurred_loss")
     return _rounded(
         dist.histogram(latest, "incurred_loss", width=100_000, share="all"), 6, "share"
     )
@@ -419,7 +422,7 @@ def histogram_by_group(spark, sf_dir):
     ),
 )
 def histogram_two_facets(spark, sf_dir):
-    latest = _developed(spark, sf_dir).filter("is_latest = 1")
+    latest = _latest(spark, sf_dir, "coverage", "period", "incurred_loss")
     table = dist.histogram(
         latest, "incurred_loss", bins=10, by=["coverage", "period"], share="all"
     )

@@ -105,34 +105,36 @@ def _binned(
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    # One small map of bin to count per group, opened up again with every bin.
+    first = F.lit(start)
+    edges = {
+        "bin_start": first + F.col("bin") * F.lit(step),
+        "bin_end": first + (F.col("bin") + 1) * F.lit(step),
+    }
+    if width is not None or not fill_empty:
+        totals = counts.groupBy(*by).agg(
+            F.sum("n_rows").alias("n_group"), F.max("n_rows").alias("n_tallest")
+        )
+        table = join_null_safe(counts, totals, by) if by else counts.withColumns(
+            {"n_group": F.lit(facts["n"]), "n_tallest": F.lit(None).cast("long")}
+        )
+        return table.withColumns(edges).select(
+            *by, "bin", "bin_start", "bin_end", "n_rows", "n_group", "n_tallest"
+        ), facts["n"]
+    # One map of at most ``bins`` counts per group, opened up again with every bin.
     packed = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_cells"),
         F.sum("n_rows").alias("n_group"),
         F.max("n_rows").alias("n_tallest"),
     )
-    if width is None and fill_empty:
-        every = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
-    else:
-        every = F.map_keys("_cells")
+    every = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
     table = (
         packed.filter("n_group is not null")
         .select("*", F.explode(every).alias("bin"))
         .withColumn("n_rows", F.coalesce(F.try_element_at("_cells", F.col("bin")), F.lit(0)))
     )
-    first = F.lit(start)
-    return (
-        table.select(
-            *by,
-            "bin",
-            (first + F.col("bin") * F.lit(step)).alias("bin_start"),
-            (first + (F.col("bin") + 1) * F.lit(step)).alias("bin_end"),
-            "n_rows",
-            "n_group",
-            "n_tallest",
-        ),
-        facts["n"],
-    )
+    return table.withColumns(edges).select(
+        *by, "bin", "bin_start", "bin_end", "n_rows", "n_group", "n_tallest"
+    ), facts["n"]
 
 
 def binned_by_category(

@@ -17,8 +17,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimbook.operators.joins import join_null_safe
+from claimbook.operators.joins import HOT_ROWS, join_group_values, join_null_safe
 
+MAX_LOCAL_CELLS = 20_000
 _LOG_STEPS = 64
 _CELLS = 8192
 
@@ -44,16 +45,34 @@ def _holding(cells: DataFrame, ranks: Sequence[str]) -> DataFrame:
     return cells.withColumns(kept).filter(any_rank)
 
 
+def _rows_in(
+    rows: DataFrame, cells: DataFrame, keys: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """Rows that fall into one of the cells, with the cell's columns.
+
+    Few cells (a report over few groups) are fetched and broadcast, so no row
+    moves. Beyond that the join is by key, crowded cells broadcast on their own.
+    """
+    found = cells.limit(MAX_LOCAL_CELLS + 1).collect()
+    if len(found) <= MAX_LOCAL_CELLS:
+        local = rows.sparkSession.createDataFrame(found, cells.schema)
+        return join_null_safe(rows, F.broadcast(local), keys).drop("n")
+    joined = join_group_values(rows, cells, keys, "n", hot_rows)
+    return joined.filter(F.col("n_total").isNotNull())
+
+
 def quantile_columns(
     df: DataFrame,
     value: str,
     named: Mapping[str, float],
     by: Sequence[str] = (),
     exact: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles, one row per group and one column per name.
 
-    Missing values are left out; a group without values has no row.
+    Missing values are left out; a group without values has no row. The exact
+    way scans the rows three times, the first two as soon as it is called.
     ``exact=False`` uses the bounded-memory sketch in a single aggregate.
     """
     by = list(by)
@@ -86,19 +105,18 @@ def quantile_columns(
         .withColumn("n_total", F.sum("n").over(Window.partitionBy(*keys)))
         .withColumns(wanted)
     )
-    bins = _holding(_running(bins, keys, "b1"), ranks).drop("n", "_upto")
+    bins = _holding(_running(bins, keys, "b1"), ranks).drop("_upto")
 
     position = F.try_divide(F.col("v") - F.col("v_min"), F.col("v_max") - F.col("v_min"))
-    in_bins = join_null_safe(rows, bins, [*keys, "b1"]).withColumn(
+    in_bins = _rows_in(rows, bins, [*keys, "b1"], hot_rows).withColumn(
         "b2", F.coalesce(F.floor(position * _CELLS), F.lit(0)).cast("long")
     )
     carried = [F.max(r).alias(r) for r in [*ranks, "n_total"]]
     cells = in_bins.groupBy(*keys, "b1", "b2").agg(F.count(F.lit(1)).alias("n"), *carried)
-    cells = _holding(_running(cells, [*keys, "b1"], "b2"), ranks).drop("n", "_upto")
+    cells = _holding(_running(cells, [*keys, "b1"], "b2"), ranks).drop("_upto")
 
-    in_cells = join_null_safe(
-        in_bins.select(*keys, "b1", "b2", "v"), cells, [*keys, "b1", "b2"]
-    )
+    narrow = in_bins.select(*keys, "b1", "b2", "v")
+    in_cells = _rows_in(narrow, cells, [*keys, "b1", "b2"], hot_rows)
     values = in_cells.groupBy(*keys, "b1", "b2", "v").agg(F.count(F.lit(1)).alias("n"), *carried)
     found = _running(values, [*keys, "b1", "b2"], "v")
     picked = found.groupBy(*keys).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -21,3 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="claimbook-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and return the scan of it.
+
+    For results that several passes read: they are computed once, the lineage
+    ends at the files, and a lost executor costs a reread instead of a rerun.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -58,3 +58,19 @@ def test_no_exact_percentile_buffer_in_the_plan(spark):
 def test_sketch_is_close(spark):
     df = spark.range(1001).selectExpr("cast(id AS double) AS v")
     assert abs(quantile_columns(df, "v", {"m": 0.5}, exact=False).first()["m"] - 500) <= 1
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_many_groups_take_the_join_by_key(spark, monkeypatch, hot_rows):
+    from claimbook.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MAX_LOCAL_CELLS", 3)
+    rng = np.random.default_rng(8)
+    data = [(f"g{i % 9}" if i % 3 else None, float(x)) for i, x in enumerate(rng.normal(size=600))]
+    data += [("copies", 1.0)] * 300
+    df = spark.createDataFrame(data, "k string, v double").repartition(4)
+    probs = {"q1": 0.25, "med": 0.5}
+    got = {r["k"]: r for r in quantile_columns(df, "v", probs, ["k"], hot_rows=hot_rows).collect()}
+    for k in {k for k, _ in data}:
+        want = np.quantile([v for g, v in data if g == k], [0.25, 0.5])
+        np.testing.assert_allclose([got[k]["q1"], got[k]["med"]], want, rtol=1e-12)
