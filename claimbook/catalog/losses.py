@@ -149,7 +149,8 @@ _CORRECTED = """
 )
 def corrected_loss_dates(spark, sf_dir):
     run = _excess_named(spark, sf_dir)
-    fixed = re.correct_dates(run, re.suggest_corrections(run))
+    fixes = materialize(re.suggest_corrections(run))
+    fixed = re.correct_dates(run, fixes)
     developed = re.develop(fixed, re.EXCESS_KEYS, *re.EXCESS_LAYER, floor_at_zero=False)
     return developed.select(
         "claim_number",

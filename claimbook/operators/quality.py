@@ -13,7 +13,6 @@ from claimbook.functions.semantics import (
     as_column,
     descending,
     distinct_count,
-    max_of,
     quoted,
     round_even,
     safe_div,
@@ -191,12 +190,6 @@ def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counted.orderBy(*descending("n_rows"), *[F.col(k).asc_nulls_last() for k in keys])
 
 
-def largest_gap(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Row-wise largest absolute difference over several column pairs."""
-    gaps = [F.abs(F.col(a) - F.col(b)) for a, b in pairs]
-    return df.withColumn("largest_gap", gaps[0] if len(gaps) == 1 else max_of(*gaps))
-
-
 def any_null(cols: Sequence[str]) -> Column:
     """True where at least one of the columns is missing."""
     return reduce(or_, [F.col(quoted(c)).isNull() for c in cols])
