@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +10,26 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below the shared folder named in ``spark.checkpoint.dir``.
+    """A fresh path that every executor and the driver can reach.
 
-    Only a session without that setting (a local test run) falls back to a
-    temporary folder of this machine.
+    It lies below the folder named in ``spark.checkpoint.dir``, else below the
+    session's warehouse folder; both are shared on a cluster. No folder of a
+    single machine is ever used.
     """
-    root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="claimbook-")
-        spark.conf.set(SETTING, root)
+    root = (
+        spark.conf.get(SETTING, None)
+        or spark.sparkContext.getConf().get(SETTING, None)
+        or spark.conf.get("spark.sql.warehouse.dir") + "/_handed_over"
+    )
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a handed-over table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and return the scan of it.
 
