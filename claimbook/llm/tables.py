@@ -43,15 +43,15 @@ def texts_of(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 
 
-def slices(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], size: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces whose text and rows stay small.
 
-    A piece ends after ``size`` rows or about 8 MB, so that one batch of very
-    long texts is not expanded all at once.
+    A piece ends after ``size`` rows or about ``limit`` bytes, so that one batch of
+    very long texts is not expanded all at once.
     """
     for batch in batches:
         per_row = max(1, batch.nbytes // max(1, batch.num_rows))
-        step = max(1, min(size, (8 << 20) // per_row))
+        step = max(1, min(size, limit // per_row))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
