@@ -54,7 +54,8 @@ def smallest_reachable(pairs: DataFrame, vertices: DataFrame, vertex: str, name:
         now = after
     else:
         raise RuntimeError("star contraction did not settle")
-    root = vertices.join(edges, vertices[vertex] == edges["u"], "left").select(
-        vertices[vertex].alias(vertex), F.coalesce("v", vertices[vertex]).alias("_root"), vertices[name].alias("_name"))
+    named = vertices.select(F.col(vertex).alias("_vertex"), F.col(name).alias("_name"))
+    root = named.join(edges, F.col("_vertex") == F.col("u"), "left").select(
+        "_vertex", "_name", F.coalesce("v", "_vertex").alias("_root"))
     least = root.groupBy("_root").agg(F.min("_name").alias("label"))
-    return root.join(least, "_root").select(vertex, "label")
+    return root.join(least, "_root").select(F.col("_vertex").alias(vertex), "label")
