@@ -456,7 +456,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, seed: int = 11,
                 ends = np.concatenate([[0], np.cumsum(count)])
                 listed = ids.tolist()
                 same = [vocab.decode(listed[ends[t] : ends[t + 1]]) == plain[t] for t in has.tolist()]
-                log_p = np.bincount(search.owner, sample["log_p"], minlength=len(count))
+                log_p = np.bincount(search.owner, sample["log_p"], minlength=len(count)).astype(np.float64)
                 with np.errstate(over="ignore"):
                     inclusion = -np.expm1(-np.exp(log_p - kappa))
                 picked = batch.take(pa.array(has))
@@ -467,8 +467,8 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, seed: int = 11,
                         *[picked.column(i) for i in kept],
                         pa.array(np.full(len(has), number, np.int32)),
                         pa.ListArray.from_arrays(pa.array(spans), pa.array(ids)),
-                        pa.array(log_p[has]), pa.array(sample["top"][has] if len(search.owner) or number == 1 else log_p[has]),
-                        pa.array(inclusion[has]), pa.array(same, pa.bool_()),
+                        pa.array(log_p[has]), pa.array(sample["top"][has]), pa.array(inclusion[has]),
+                        pa.array(same, pa.bool_()),
                     ],
                     names=[*[batch.schema.names[i] for i in kept], *added],
                 )
