@@ -15,9 +15,13 @@ from claimbook.llm.tables import written
 ROWS_PER_BUCKET = 4_096
 
 
-def ranked(df: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str,
+           total: str | None = None) -> DataFrame:
     """The rows with their rank from 0 within ``groups``, by bucket and then ``order``.
 
+    The row count of the group is added as ``total``, if that is named. Rows meet the counts by
+    group and bucket only, so they are never dealt out by a group alone.
+
     ``bucket`` must rise with the wanted order and hold few rows of a group each. Offsets
     are sums over blocks of 1,024 buckets and over the buckets of a block.
     """
@@ -26,18 +30,21 @@ def ranked(df: DataFrame, groups: list[str], bucket: str, order: list[Column], n
     blocks = sizes.groupBy(*groups, "_block").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy(*groups, "_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).drop("_m")
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    starts = blocks.select(*groups, "_block", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"),
+                           F.sum("_m").over(whole).alias("_total"))
     offsets = (
         sizes.withColumn("_inner", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(starts, [*groups, "_block"])
-        .select(*groups, bucket, (F.col("_start") + F.col("_inner")).alias("_offset"))
+        .select(*groups, bucket, (F.col("_start") + F.col("_inner")).alias("_offset"), "_total")
     )
     inside = Window.partitionBy(*groups, bucket).orderBy(*order)
     numbered = df.withColumn("_inside", F.row_number().over(inside) - 1)
     return (
         numbered.join(offsets, [*groups, bucket])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_offset", "_inside")
+        .withColumnRenamed("_total", total or "_total")
+        .drop("_offset", "_inside", "_total")
     )
 
 
@@ -63,15 +70,14 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, key: str = "doc
         (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
     ).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("null"), F.col("text_crc32"))))))
      .withColumn("unit", F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(1 << 32)))
-    counts = narrow.groupBy("named", "stratum").agg(F.count(F.lit(1)).alias("n"))
     total = narrow.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    rows = narrow.join(counts, ["named", "stratum"]).withColumn(
-        "bucket", F.floor(F.col("unit") * F.ceil(F.col("n") / ROWS_PER_BUCKET)))
+    buckets = max(1, -(-total // ROWS_PER_BUCKET))
+    rows = narrow.withColumn("bucket", F.floor(F.col("unit") * buckets))
     tie = [F.col("key"), F.col("size"), F.col("text_crc32")]
-    rows = ranked(rows, ["named", "stratum"], "bucket", [F.col("draw"), *tie], "rank").drop("bucket")
+    rows = ranked(rows, ["named", "stratum"], "bucket", [F.col("draw"), *tie], "rank", "n").drop("bucket")
     fraction = (2 * F.col("rank") + 1) / (2 * F.col("n"))
     rows = rows.withColumn("fraction", fraction).withColumn(
-        "bucket", F.floor(F.col("fraction") * max(1, -(-total // ROWS_PER_BUCKET))))
+        "bucket", F.floor(F.col("fraction") * buckets))
     rows = ranked(rows, [], "bucket", [F.col("fraction"), F.col("named"), F.col("stratum"), F.col("rank")], "place")
     shard = F.expr(f"cast((place * {shards}) div {max(1, total)} as int)")
     return rows.withColumn("shard", shard).select(
