@@ -86,7 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Query and check SQL by name; None where SQL has no form for it."""
     return {
-        "op1_shards": (op1_shards, None),
+        "op1_shards": (op1_shards, shards.SQL),
         "op2_top_k": (op2_top_k, topk.SQL),
         "op3_substrings": (op3_substrings, substrings.SQL),
         "op4_segmentations": (op4_segmentations, None),

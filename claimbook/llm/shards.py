@@ -85,3 +85,32 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, key: str = "doc
         F.when(F.col("named"), F.col("stratum")).alias(stratum), "size", "text_crc32", "shard",
         (F.col("place") - F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")).alias("slot"),
     )
+
+
+SQL = """
+WITH steps AS (
+  SELECT list(v ORDER BY n) AS t
+  FROM (SELECT n, list_reduce(list_concat([n], range(8)),
+               lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) AS r(n))
+), narrow AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         list_transform(range(octet_length(encode(coalesce(text, '')))),
+                        lambda i: CAST('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2) AS BIGINT)) AS bytes,
+         md5('7:' || doc_id) AS draw
+  FROM documents
+), summed AS (
+  SELECT doc_id, source, size, draw,
+         xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM narrow, steps
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
+  FROM summed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(2 * rank + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source, rank) - 1 AS place FROM ranked
+), cut AS (SELECT *, (place * 24) // total AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(place - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM cut
+"""
