@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ class Words:
 
     def __init__(self):
         self.code: dict[bytes, int] = {}
-        self.hash: list[int] = []
+        self.hash = array("Q")
 
     def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word of the texts in a row, and the owning text of each."""
@@ -53,8 +54,8 @@ class Words:
                     self.code[word] = at = len(self.hash)
                     self.hash.append(xxh64_intdigest(word))
                 out.append(at)
-        return (np.array(self.hash, np.uint64)[np.array(out, np.int64)],
-                np.repeat(np.arange(len(texts)), lengths))
+        known = np.frombuffer(self.hash, np.uint64) if self.hash else np.zeros(0, np.uint64)
+        return known[np.array(out, np.int64)], np.repeat(np.arange(len(texts)), lengths)
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
