@@ -104,10 +104,9 @@ def fault_suffix(indicator: ColumnLike) -> Column:
 
 
 def minutes_between(start: ColumnLike, end: ColumnLike) -> Column:
-    """Elapsed minutes between two timestamps."""
-    start_s = F.unix_timestamp(as_column(start).cast("timestamp"))
-    end_s = F.unix_timestamp(as_column(end).cast("timestamp"))
-    return (end_s - start_s).cast("double") / F.lit(60.0)
+    """Elapsed minutes between two timestamps, as the clock of their own type counts them."""
+    elapsed = (as_column(end) - as_column(start)).cast("interval second").cast("decimal(20,6)")
+    return elapsed.cast("double") / F.lit(60.0)
 
 
 def average_speed(miles: ColumnLike, minutes: ColumnLike, offset_minutes: float = 0.0) -> Column:

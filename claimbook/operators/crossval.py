@@ -72,6 +72,10 @@ def cross_validate(
     rows = design_rows(folded, design, [F.col(quoted(key)).alias("_key"), "_fold"])
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if fold:
+            stray = rows.agg(F.count_if(~F.coalesce(F.col("_fold").between(0, k - 1), F.lit(False)))).first()[0]
+            if stray:
+                raise ValueError(f"{stray} rows have a fold that is missing or not in 0..{k - 1}")
         full = fit_rows(rows, design)
         names = list(design.terms())
         positions = [names.index(t) for t in full.kept]
@@ -100,8 +104,9 @@ def cross_validate(
 
 
 def decide(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Class decision: Yes strictly above the threshold."""
-    return df.withColumn("pred", F.when(F.col("probability") > threshold, YES).otherwise(NO))
+    """Class decision: Yes strictly above the threshold, none without a probability."""
+    above = F.col("probability") > threshold
+    return df.withColumn("pred", F.when(above, YES).when(F.col("probability").isNotNull(), NO))
 
 
 def _cells(oof: DataFrame, threshold: float, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimbook.functions.semantics import safe_div
-from claimbook.operators.joins import HOT_ROWS, join_group_values, join_null_safe
+from claimbook.operators.joins import join_group_values, join_null_safe
 from claimbook.operators.quantiles import quantile_columns
 
 Limits = tuple[float | None, float | None]
@@ -151,7 +151,6 @@ def box_stats(
     by: Sequence[str],
     limits: Limits | None = None,
     exact: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Quartiles, whisker ends within 1.5 interquartile ranges and outlier count."""
     by = list(by)
@@ -167,7 +166,7 @@ def box_stats(
     stats = join_null_safe(quartiles, sizes, by)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
-    fenced = join_group_values(rows, stats, by, "n_rows", hot_rows)
+    fenced = join_group_values(rows, stats, by, "n_rows")
     ends = fenced.groupBy(*by).agg(
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),

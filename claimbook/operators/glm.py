@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimbook.functions.semantics import quoted
-from claimbook.operators.gram import cross_products, independent_columns
+from claimbook.operators.gram import column_means, cross_products, independent_columns
 
-MAX_LEVELS = 1_000
 INTERCEPT = "(Intercept)"
 
 
@@ -54,9 +53,7 @@ def build_design(
     levels: dict[str, tuple[str, ...]] = {}
     for name, base in categorical.items():
         found = df.select(F.col(quoted(name)).alias("v")).filter("v is not null").distinct()
-        values = sorted(r["v"] for r in found.limit(MAX_LEVELS + 1).collect())
-        if len(values) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} levels")
+        values = sorted(found.toArrow()["v"].to_pylist())
         first = base if base is not None else values[0]
         if first not in values:
             raise ValueError(f"base level {first!r} does not occur in {name}")
@@ -108,11 +105,12 @@ def design_rows(df: DataFrame, design: Design, keep: Sequence[str] = ()) -> Data
 
 def _independent(rows: DataFrame, n_terms: int) -> list[int]:
     """Positions of terms that are not combinations of the intercept and earlier terms."""
-    columns = [F.lit(1.0), *[F.col(f"_t{i}") for i in range(n_terms)]]
-    gram = cross_products(rows, columns).get(0)
+    columns = [F.col(f"_t{i}") for i in range(n_terms)]
+    means = column_means(rows, columns)
+    gram = cross_products(rows, [c - F.lit(m) for c, m in zip(columns, means)]).get(0)
     if gram is None:
         raise ValueError("no complete rows to fit on")
-    return [j - 1 for j in independent_columns(gram) if j > 0]
+    return independent_columns(gram)
 
 
 def fit_rows(

@@ -14,9 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 1_000
-
-
 def _partial_products(n_cols: int):
     upper = np.triu_indices(n_cols)
 
@@ -56,7 +53,7 @@ def cross_products(
     """Weighted sums of products of every column pair, per integer group.
 
     The columns must be free of nulls. Returns one symmetric matrix per group
-    (group 0 when there is none); at most ``MAX_GROUPS`` groups are accepted.
+    (group 0 when there is none). The sums come to the driver as Arrow columns.
     """
     p = len(columns)
     rows = df.select(
@@ -69,21 +66,30 @@ def cross_products(
         .groupBy("grp", "i", "j")
         .agg(F.sum("s").alias("s"))
     )
-    wanted = MAX_GROUPS * p * (p + 1) // 2
+    table = sums.toArrow()
+    group_of, i, j, s = (table[c].to_numpy() for c in ("grp", "i", "j", "s"))
     matrices: dict[int, np.ndarray] = {}
-    for row in sums.limit(wanted + 1).collect():
-        matrix = matrices.setdefault(row["grp"], np.zeros((p, p)))
-        matrix[row["i"], row["j"]] = matrix[row["j"], row["i"]] = row["s"]
-    if len(matrices) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups of cross products")
+    for g in np.unique(group_of):
+        pick = group_of == g
+        matrix = np.zeros((p, p))
+        matrix[i[pick], j[pick]] = s[pick]
+        matrix[j[pick], i[pick]] = s[pick]
+        matrices[int(g)] = matrix
     return matrices
 
 
+def column_means(df: DataFrame, columns: Sequence[Column]) -> list[float]:
+    """Mean of every column, one aggregate; 0 where there are no rows."""
+    facts = df.agg(*[F.avg(c.cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return [float(m) if m is not None else 0.0 for m in facts]
+
+
 def independent_columns(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
     """Positions that are not a linear combination of earlier ones.
 
-    Elimination in column order on the scaled matrix: a column whose remaining
-    share of its own length is below ``tol`` is aliased.
+    ``gram`` holds products of columns less their means, so a large mean is not taken
+    for a combination with the intercept. Elimination in column order on the scaled
+    matrix: a column whose remaining share of its own length is below ``tol`` is aliased.
     """
     scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
     left = gram / np.outer(scale, scale)

@@ -9,8 +9,11 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
+from claimbook.functions.semantics import quoted
+
+# A group is hot when it holds more than 1 / HOT_PARTS of all rows, so fewer than
+# HOT_PARTS groups are hot, however large the data is.
+HOT_PARTS = 64
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -26,69 +29,33 @@ def join_null_safe(
     return left.join(side, condition, how).drop(*["_r_" + k for k in keys])
 
 
-def _with_prefix(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: prefix + k for k in keys})
-
-
 def join_group_values(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: Sequence[str],
-    size: str,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str
 ) -> DataFrame:
     """Attach one row per group back to the rows of that group.
 
     ``groups`` holds the keys, the group's row count in ``size`` and the values
-    to attach. Groups with more than ``hot_rows`` rows number at most
-    ``rows / hot_rows``, so they are broadcast; their rows do not need the
-    second join and are spread over the shuffle by their source partition
-    instead of meeting in the one task of their key. All other groups join by
-    key. The spread key is the partition number, which a rerun task repeats.
+    to attach; rows of no group get nulls. Hot groups (``HOT_PARTS``) are fewer
+    than a fixed number, so they are broadcast and their rows stay where they
+    are. All other rows join by key, where no key has more than its share. A
+    missing key matches a missing key.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("join_group_values needs at least one key")
     values = [c for c in groups.columns if c not in keys and c != size]
-    is_hot = F.col(size) > F.lit(hot_rows)
-
-    hot = _with_prefix(groups.filter(is_hot), keys, "_h_").withColumnsRenamed(
-        {v: "_h_" + v for v in values} | {size: "_h_size"}
-    )
-    cold = (
-        _with_prefix(groups.filter(~is_hot), keys, "_c_")
-        .withColumnsRenamed({v: "_c_" + v for v in values})
-        .drop(size)
-        .withColumn("_c_spread", F.lit(0))
-    )
-    match_hot = reduce(and_, [F.col(k).eqNullSafe(F.col("_h_" + k)) for k in keys])
-    tagged = rows.join(F.broadcast(hot), match_hot, "left").withColumn(
-        "_spread",
-        F.when(F.col("_h_size").isNotNull(), F.spark_partition_id() + 1).otherwise(F.lit(0)),
-    )
-    match_cold = reduce(
-        and_,
-        [F.col(k).eqNullSafe(F.col("_c_" + k)) for k in keys]
-        + [F.col("_spread") == F.col("_c_spread")],
-    )
-    joined = tagged.join(cold, match_cold, "left")
-    return joined.select(
+    total = groups.agg(F.sum(size)).scalar()
+    is_hot = F.col(size) * F.lit(HOT_PARTS) > total
+    attached = groups.withColumnsRenamed({k: "_g_" + k for k in keys} | {v: "_v_" + v for v in values})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col("_g_" + k)) for k in keys])
+    hot = F.broadcast(attached.filter(is_hot))
+    columns = [
         *[F.col(f"`{c}`") for c in rows.columns],
-        *[
-            F.when(F.col("_h_size").isNotNull(), F.col("_h_" + v))
-            .otherwise(F.col("_c_" + v))
-            .alias(v)
-            for v in values
-        ],
-    )
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows.
-
-    Every task stops after ``max_rows + 1`` rows, so the check stays cheap.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+        *[F.col("_v_" + v).alias(v) for v in values],
+    ]
+    spread = rows.join(hot, match).select(*columns)
+    rest = rows.join(hot, match, "left_anti").join(attached.filter(~is_hot), match, "left")
+    return spread.unionAll(rest.select(*columns))
 
 
 def join_lookup(
@@ -96,13 +63,10 @@ def join_lookup(
     lookup: DataFrame,
     on: str | Sequence[str] | Mapping[str, str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a reference table: broadcast while it is small, by key beyond that."""
+    """Join a reference table by key; Spark broadcasts it where its size allows."""
     pairs = dict(on) if isinstance(on, Mapping) else {k: k for k in _keys(on)}
     side = lookup.withColumnsRenamed({r: "_r_" + r for r in pairs.values()})
-    if fits_broadcast(lookup, max_rows):
-        side = F.broadcast(side)
     condition = reduce(and_, [F.col(a) == F.col("_r_" + b) for a, b in pairs.items()])
     return df.join(side, condition, how).drop(*["_r_" + b for b in pairs.values()])
 
@@ -123,10 +87,16 @@ def join_fill(
     fill: float = 0,
     how: str = "left",
 ) -> DataFrame:
-    """Left join that fills only the joined numeric columns where nothing matched."""
+    """Left join that fills the joined numeric columns of rows that matched nothing.
+
+    A missing value of a matched row stays missing.
+    """
     keys = _keys(key)
-    joined = [c for c in right.columns if c not in keys]
-    return left.join(right, keys, how).fillna(fill, subset=joined)
+    numeric = [c for c, t in right.dtypes if c not in keys and not t.startswith(("string", "date", "timestamp", "bool", "array", "map", "struct", "binary"))]
+    joined = left.join(right.withColumn("_matched", F.lit(True)), keys, how)
+    filled = {c: F.when(F.col("_matched").isNull(), F.lit(fill)).otherwise(F.col(quoted(c))) for c in numeric}
+    types = dict(right.dtypes)
+    return joined.withColumns({c: e.cast(types[c]) for c, e in filled.items()}).drop("_matched")
 
 
 def duplicate_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:

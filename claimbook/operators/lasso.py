@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from claimbook.operators.crossval import fold_of
 from claimbook.operators.glm import build_design, design_rows
-from claimbook.operators.gram import cross_products
+from claimbook.operators.gram import column_means, cross_products
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,10 @@ def lasso_path(
     folded = df.withColumn("_fold", F.col(fold) if fold else fold_of([key], k, seed))
     rows = design_rows(folded, design, ["_fold"])
     terms = list(design.terms())
-    columns = [F.lit(1.0), *[F.col(f"_t{i}") for i in range(len(terms))], F.col("_y")]
+    values = [*[F.col(f"_t{i}") for i in range(len(terms))], F.col("_y")]
+    # Sums of products about the means of all rows; penalties, errors and slopes do not change.
+    means = column_means(rows, values)
+    columns = [F.lit(1.0), *[c - F.lit(m) for c, m in zip(values, means)]]
     blocks = cross_products(rows, columns, F.col("_fold"))
     total = sum(blocks.values())
 

@@ -135,18 +135,15 @@ def ratio_counts(df: DataFrame, num: str, den: str, digits: int = 6) -> DataFram
 def check_rate(
     df: DataFrame, num: Column | str, den: Column | str, limit: float
 ) -> DataFrame:
-    """Rows whose rate is above the limit, fastest first.
+    """Rows whose rate is above the limit, in no order.
 
     Something done in no time at all (positive over zero) has no finite rate;
-    it is reported first, with a null rate.
+    it is reported with a null rate.
     """
     numerator, denominator = as_column(num), as_column(den)
     instant = (numerator > 0) & (denominator == 0)
-    return (
-        df.withColumn("rate", safe_div(numerator, denominator))
-        .filter((F.col("rate") > limit) | instant)
-        .orderBy(F.col("rate").desc_nulls_first())
-    )
+    rated = df.withColumn("rate", safe_div(numerator, denominator))
+    return rated.filter((F.col("rate") > limit) | instant)
 
 
 def check_order(df: DataFrame, earlier: str, later: str) -> DataFrame:
@@ -185,9 +182,8 @@ def check_cap(
 
 
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct values with their row count, most frequent first."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.orderBy(*descending("n_rows"), *[F.col(k).asc_nulls_last() for k in keys])
+    """Distinct values with their row count, in no order."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def any_null(cols: Sequence[str]) -> Column:

@@ -2,10 +2,11 @@
 
 The built-in exact percentile keeps every distinct value of a group in one
 buffer. Here each wanted rank is located by counting instead: first per signed
-logarithmic bin of the value, then per equal-width cell inside the bin that
-holds the rank, then among the few values of that cell. Each step is a map-side
-combined count over a narrow scan, so only bin-sized tables are shuffled, and a
-bin is a function of the value alone, so a rerun task repeats its result.
+logarithmic bin of the value, then in rounds per equal-width cell between the
+least and greatest value of the cell that holds the rank, until such a cell holds one
+value or few rows. Each round is a map-side combined count and hands only the rows
+of the wanted cells to the next; a cell is a function of the value alone, so a rerun
+task repeats its result.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimbook.operators.joins import HOT_ROWS, join_group_values, join_null_safe
+from claimbook.operators.joins import join_group_values
+from claimbook.sources.scratch import materialize
 
-MAX_LOCAL_CELLS = 20_000
+CELL_ROWS = 10_000
 _LOG_STEPS = 64
 _CELLS = 8192
 
@@ -45,19 +47,9 @@ def _holding(cells: DataFrame, ranks: Sequence[str]) -> DataFrame:
     return cells.withColumns(kept).filter(any_rank)
 
 
-def _rows_in(
-    rows: DataFrame, cells: DataFrame, keys: Sequence[str], hot_rows: int
-) -> DataFrame:
-    """Rows that fall into one of the cells, with the cell's columns.
-
-    Few cells (a report over few groups) are fetched and broadcast, so no row
-    moves. Beyond that the join is by key, crowded cells broadcast on their own.
-    """
-    found = cells.limit(MAX_LOCAL_CELLS + 1).collect()
-    if len(found) <= MAX_LOCAL_CELLS:
-        local = rows.sparkSession.createDataFrame(found, cells.schema)
-        return join_null_safe(rows, F.broadcast(local), keys).drop("n")
-    joined = join_group_values(rows, cells, keys, "n", hot_rows)
+def _rows_in(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that fall into one of the cells, with the cell's columns."""
+    joined = join_group_values(rows, cells, keys, "n")
     return joined.filter(F.col("n_total").isNotNull())
 
 
@@ -67,13 +59,13 @@ def quantile_columns(
     named: Mapping[str, float],
     by: Sequence[str] = (),
     exact: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles, one row per group and one column per name.
 
     Missing values are left out; a group without values has no row. The exact
-    way scans the rows three times, the first two as soon as it is called.
-    ``exact=False`` uses the bounded-memory sketch in a single aggregate.
+    way writes the narrow rows once and works its rounds as soon as it is called.
+    ``exact=False`` uses the bounded-memory sketch in a single aggregate; it
+    returns a value of the data near the quantile and does not interpolate.
     """
     by = list(by)
     v = F.col(value).cast("double")
@@ -85,10 +77,10 @@ def quantile_columns(
         )
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
     group = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
-    rows = (
+    rows = materialize(
         df.select(*group, v.alias("v"))
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .withColumn("b1", (F.signum("v") * F.floor(F.log1p(F.abs("v")) * _LOG_STEPS)).cast("long"))
+        .withColumn("b0", (F.signum("v") * F.floor(F.log1p(F.abs("v")) * _LOG_STEPS)).cast("long"))
     )
 
     # The two neighbours of position (N - 1) * p, as 1-based ranks in the group.
@@ -99,26 +91,33 @@ def quantile_columns(
     wanted |= {high[n]: F.ceil(s).cast("long") + 1 for n, s in spot.items()}
     ranks = list(wanted)
 
-    bins = (
-        rows.groupBy(*keys, "b1")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    within = [*keys, "b0"]
+    size = [F.count(F.lit(1)).alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max")]
+    carried = [F.max(r).alias(r) for r in [*ranks, "n_total"]]
+    cells = (
+        rows.groupBy(*within)
+        .agg(*size)
         .withColumn("n_total", F.sum("n").over(Window.partitionBy(*keys)))
         .withColumns(wanted)
     )
-    bins = _holding(_running(bins, keys, "b1"), ranks).drop("_upto")
-
+    cells = materialize(_holding(_running(cells, keys, "b0"), ranks).drop("_upto"))
     position = F.try_divide(F.col("v") - F.col("v_min"), F.col("v_max") - F.col("v_min"))
-    in_bins = _rows_in(rows, bins, [*keys, "b1"], hot_rows).withColumn(
-        "b2", F.coalesce(F.floor(position * _CELLS), F.lit(0)).cast("long")
+    while (cells.filter("v_min < v_max").agg(F.max("n")).first()[0] or 0) > CELL_ROWS:
+        cell = f"b{len(within) - len(keys)}"
+        inside = _rows_in(rows, cells, within).withColumn(
+            cell, F.coalesce(F.floor(position * _CELLS), F.lit(0)).cast("long")
+        )
+        rows = materialize(inside.select(*within, cell, "v", *ranks, "n_total"))
+        found = rows.groupBy(*within, cell).agg(*size, *carried)
+        cells = materialize(_holding(_running(found, within, cell), ranks).drop("_upto"))
+        rows, within = rows.select(*within, cell, "v"), [*within, cell]
+
+    values = (
+        _rows_in(rows, cells, within)
+        .groupBy(*within, "v")
+        .agg(F.count(F.lit(1)).alias("n"), *carried)
     )
-    carried = [F.max(r).alias(r) for r in [*ranks, "n_total"]]
-    cells = in_bins.groupBy(*keys, "b1", "b2").agg(F.count(F.lit(1)).alias("n"), *carried)
-    cells = _holding(_running(cells, [*keys, "b1"], "b2"), ranks).drop("_upto")
-
-    narrow = in_bins.select(*keys, "b1", "b2", "v")
-    in_cells = _rows_in(narrow, cells, [*keys, "b1", "b2"], hot_rows)
-    values = in_cells.groupBy(*keys, "b1", "b2", "v").agg(F.count(F.lit(1)).alias("n"), *carried)
-    found = _running(values, [*keys, "b1", "b2"], "v")
+    found = _running(values, within, "v")
     picked = found.groupBy(*keys).agg(
         F.max("n_total").alias("n_total"),
         *[F.max(F.when(_inside(r), F.col("v"))).alias(r) for r in ranks],

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimbook.operators.joins import HOT_ROWS, join_group_values
+from claimbook.operators.joins import join_group_values
 
 
 def snapshot_bounds(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
@@ -29,11 +29,10 @@ def flag_snapshots(
     df: DataFrame,
     keys: Sequence[str],
     at: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``is_latest`` and ``is_first`` (0/1); rows tied on the date all get the flag."""
     bounds = snapshot_bounds(df, keys, at)
-    joined = join_group_values(df, bounds, keys, "n_snapshots", hot_rows)
+    joined = join_group_values(df, bounds, keys, "n_snapshots")
     return joined.withColumns(
         {
             "is_latest": F.coalesce((F.col(at) == F.col("latest_at")).cast("int"), F.lit(0)),
@@ -43,18 +42,18 @@ def flag_snapshots(
 
 
 def keep_latest(
-    df: DataFrame, keys: Sequence[str], at: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], at: str
 ) -> DataFrame:
     """Rows at the latest valuation of their group, ties kept."""
-    flagged = flag_snapshots(df, keys, at, hot_rows)
+    flagged = flag_snapshots(df, keys, at)
     return flagged.filter("is_latest = 1").drop("is_latest", "is_first")
 
 
 def keep_first(
-    df: DataFrame, keys: Sequence[str], at: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], at: str
 ) -> DataFrame:
     """Rows at the first valuation of their group, ties kept."""
-    flagged = flag_snapshots(df, keys, at, hot_rows)
+    flagged = flag_snapshots(df, keys, at)
     return flagged.filter("is_first = 1").drop("is_latest", "is_first")
 
 

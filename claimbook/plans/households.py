@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimbook.functions import actuarial as act
 from claimbook.functions.semantics import in_levels, pad_zero, round_even, safe_div
 from claimbook.operators.distributions import value_shares
-from claimbook.operators.joins import BROADCAST_ROWS, join_fill, join_lookup, require_unique
+from claimbook.operators.joins import join_fill, join_lookup, require_unique
 from claimbook.operators.reshape import pivot_measure, row_count, sum_of
 
 AS_OF = dt.date(2017, 1, 1)
@@ -217,7 +217,7 @@ def export_features(features: DataFrame, drop: Sequence[str] = EXPORT_DROPS) ->
 
 
 def state_distribution(
-    predictors: DataFrame, zip_state: DataFrame, max_rows: int = BROADCAST_ROWS
+    predictors: DataFrame, zip_state: DataFrame
 ) -> DataFrame:
     """Households per state of their zip code; unmatched zips are listed as NA.
 
@@ -226,7 +226,7 @@ def state_distribution(
     zips = predictors.groupBy(pad_zero("zipcode", 5).alias("zipcode")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    named = join_lookup(zips, zip_state.select("zipcode", "state"), "zipcode", "left", max_rows)
+    named = join_lookup(zips, zip_state.select("zipcode", "state"), "zipcode")
     counted = named.groupBy(F.coalesce("state", F.lit("NA")).alias("state")).agg(
         F.sum("_n").alias("n_households")
     )

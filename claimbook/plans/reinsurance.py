@@ -12,18 +12,12 @@ from claimbook.functions import actuarial as act
 from claimbook.functions.semantics import (
     as_column,
     composite_key,
-    descending,
     distinct_count,
     level_rank,
     round_even,
     safe_div,
 )
-from claimbook.operators.joins import (
-    BROADCAST_ROWS,
-    HOT_ROWS,
-    join_keyed,
-    join_lookup,
-)
+from claimbook.operators.joins import join_group_values, join_keyed
 from claimbook.operators.snapshots import flag_snapshots, totals_at
 
 # Grouping keys of the two loss runs.
@@ -98,11 +92,10 @@ def develop(
     limit: float = PRIMARY_LAYER[1],
     floor_at_zero: bool = True,
     null_to_open: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Row-level loss run with valuations and first/latest snapshot flags."""
     valued = value_losses(df, attachment, limit, floor_at_zero, null_to_open)
-    return flag_snapshots(valued, list(keys), "evaluation_date", hot_rows)
+    return flag_snapshots(valued, list(keys), "evaluation_date")
 
 
 def clean_excess_names(df: DataFrame) -> DataFrame:
@@ -110,17 +103,17 @@ def clean_excess_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(EXCESS_NAMES)
 
 
-def correct_dates(
-    df: DataFrame, corrections: DataFrame, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def correct_dates(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Replace the loss date of the listed claims.
 
-    ``corrections`` has one row per ``claim_number`` with its ``loss_date``; it
-    is broadcast while small. Maturities and flags are derived afterwards, so
-    the corrected date is also the date the snapshots are grouped by.
+    ``corrections`` has one row per ``claim_number`` with its ``loss_date``.
+    Maturities and flags are derived afterwards, so the corrected date is also the
+    date the snapshots are grouped by. A claim with many rows is corrected where its
+    rows are.
     """
+    sizes = df.groupBy("claim_number").agg(F.count(F.lit(1)).alias("_n"))
     fixes = corrections.select("claim_number", F.col("loss_date").alias("_fixed"))
-    joined = join_lookup(df, fixes, "claim_number", "left", max_rows)
+    joined = join_group_values(df, fixes.join(sizes, "claim_number"), ["claim_number"], "_n")
     return joined.withColumn("loss_date", F.coalesce("_fixed", "loss_date")).drop("_fixed")
 
 
@@ -174,11 +167,10 @@ def report_lag(
 
 
 def claimants(df: DataFrame, by: Sequence[str] = ("claim_number",)) -> DataFrame:
-    """Distinct claimants per claim (or finer), largest first; unknown counts as one."""
-    counted = df.groupBy(*by).agg(
+    """Distinct claimants per claim (or finer), in no order; unknown counts as one."""
+    return df.groupBy(*by).agg(
         distinct_count("claimant_name", count_null=True).alias("n_claimants")
     )
-    return counted.orderBy(*descending("n_claimants"), *by)
 
 
 def latest_diagonal(
@@ -315,19 +307,15 @@ def with_bucket_rank(df: DataFrame) -> DataFrame:
 
 
 def speed_screen(trips: DataFrame, limit: float = 80.0, offset_minutes: float = 0.0) -> DataFrame:
-    """Trips with an implausible average speed, fastest first.
+    """Trips with an implausible average speed, in no order.
 
-    Trips of no duration that covered some distance come first.
+    Trips of no duration that covered some distance are among them, with a null speed.
     """
     speed = act.average_speed("trip_distance_mi", "trip_minutes", offset_minutes)
     instant = (F.col("trip_minutes") + F.lit(float(offset_minutes)) == 0) & (
         F.col("trip_distance_mi") > 0
     )
-    return (
-        trips.withColumn("average_mph", speed)
-        .filter((F.col("average_mph") > limit) | instant)
-        .orderBy(F.col("average_mph").desc_nulls_first())
-    )
+    return trips.withColumn("average_mph", speed).filter((F.col("average_mph") > limit) | instant)
 
 
 def corrections_table(spark, fixes: Mapping[str, dt.date]) -> DataFrame:

@@ -152,3 +152,15 @@ def test_minutes_and_speed(spark):
     assert tuple(got) == (30.0, 20.0)
     assert one(spark, "m double", (0.0,), act.average_speed(F.lit(1.0), "m")) is None
     assert one(spark, "m double", (0.0,), act.average_speed(F.lit(1.0), "m", 0.5)) == 120.0
+
+
+def test_minutes_do_not_follow_clock_changes(spark):
+    df = spark.createDataFrame([("2021-03-14 01:30:00", "2021-03-14 03:30:00"), (None, "2021-03-14 03:30:00")], "a string, b string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.selectExpr("cast(a as timestamp_ntz) a", "cast(b as timestamp_ntz) b").select(
+            act.minutes_between("a", "b")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [120.0, None]

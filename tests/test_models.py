@@ -242,3 +242,36 @@ def test_families_are_replaced(table):
     scored, models = pca.replace_with_scores(table, {"pa": (["x0", "x1"], 1), "pb": (["x2", "both"], 2)})
     assert set(scored.columns) == {"id", "cat", "y", "one", "pa1", "pb1", "pb2"}
     assert set(models) == {"pa", "pb"}
+
+
+def test_columns_far_from_zero_are_not_taken_for_the_intercept(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(2e6, 50, 800), rng.normal(1.6e9, 1e4, 800)
+    y = (rng.random(800) < 1 / (1 + np.exp(-(x - 2e6) / 50))).astype(int)
+    df = spark.createDataFrame(
+        [(int(a), float(b), float(c), float(2 * c - 7)) for a, b, c in zip(y, x, z)], "y int, x double, z double, w double")
+    model = glm.fit_glm(df, "y", ["x", "z", "w"])
+    assert model.kept == ("x", "z") and model.aliased == ("w",)
+    assert model.coefficients["x"] == pytest.approx(1 / 50, rel=0.3)
+
+
+def test_the_penalty_search_does_not_depend_on_the_origin(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, int(rng.random() < 0.4), float(rng.normal()), float(rng.normal())) for i in range(300)]
+    near = spark.createDataFrame(data, "k int, y int, a double, b double")
+    far = near.selectExpr("k", "y", "a + 5e7 AS a", "b - 3e7 AS b")
+    one, two = (lasso.lasso_path(d, "k", "y", ["a", "b"], k=5, n_lambda=20) for d in (near, far))
+    np.testing.assert_allclose(one.errors, two.errors, rtol=1e-6)
+
+
+@pytest.mark.parametrize("stray", [None, 10, -1])
+def test_rows_without_a_proper_fold_are_refused(spark, stray):
+    rows = [(i, i % 2, float(i % 7), i % 10) for i in range(100)] + [(100, 1, 2.0, stray)]
+    df = spark.createDataFrame(rows, "k int, y int, x double, f int")
+    with pytest.raises(ValueError, match="1 rows have a fold"):
+        crossval.cross_validate(df, "k", "y", ["x"], fold="f")
+
+
+def test_no_decision_without_a_probability(spark):
+    df = spark.createDataFrame([(0.7,), (0.2,), (None,)], "probability double")
+    assert [r["pred"] for r in crossval.decide(df).collect()] == ["Yes", "No", None]

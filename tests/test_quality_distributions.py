@@ -53,7 +53,7 @@ def test_check_equal(spark):
 def test_rate_over_zero_time_is_reported(spark):
     df = spark.createDataFrame([(1, 90.0, 1.0), (2, 5.0, 0.0), (3, 0.0, 0.0), (4, 1.0, 1.0)],
                                "id int, miles double, hours double")
-    assert [r["id"] for r in quality.check_rate(df, "miles", "hours", 80).collect()] == [2, 1]
+    assert sorted(r["id"] for r in quality.check_rate(df, "miles", "hours", 80).collect()) == [1, 2]
 
 
 def test_order_grain_subkeys_scope_and_cap(spark):
@@ -110,11 +110,10 @@ def test_fixed_width_bins_start_at_the_origin(spark):
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_box_statistics(spark, hot_rows):
+def test_box_statistics(spark):
     values = [float(v) for v in range(1, 21)] + [200.0, -90.0]
     df = spark.createDataFrame([("g", v) for v in values] + [("s", 7.0)], "k string, x double")
-    got = {r["k"]: r for r in dist.box_stats(df, "x", ["k"], hot_rows=hot_rows).collect()}
+    got = {r["k"]: r for r in dist.box_stats(df, "x", ["k"]).collect()}
     q1, med, q3 = np.quantile(values, [0.25, 0.5, 0.75])
     g = got["g"]
     assert (g["q1"], g["median"], g["q3"]) == (q1, med, q3)

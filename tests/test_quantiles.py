@@ -60,17 +60,32 @@ def test_sketch_is_close(spark):
     assert abs(quantile_columns(df, "v", {"m": 0.5}, exact=False).first()["m"] - 500) <= 1
 
 
-@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_many_groups_take_the_join_by_key(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("cell_rows", [1, 50, 10_000])
+def test_many_groups_of_all_sizes(spark, monkeypatch, cell_rows):
     from claimbook.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "MAX_LOCAL_CELLS", 3)
+    monkeypatch.setattr(quantiles, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(8)
     data = [(f"g{i % 9}" if i % 3 else None, float(x)) for i, x in enumerate(rng.normal(size=600))]
     data += [("copies", 1.0)] * 300
     df = spark.createDataFrame(data, "k string, v double").repartition(4)
     probs = {"q1": 0.25, "med": 0.5}
-    got = {r["k"]: r for r in quantile_columns(df, "v", probs, ["k"], hot_rows=hot_rows).collect()}
+    got = {r["k"]: r for r in quantile_columns(df, "v", probs, ["k"]).collect()}
     for k in {k for k, _ in data}:
         want = np.quantile([v for g, v in data if g == k], [0.25, 0.5])
         np.testing.assert_allclose([got[k]["q1"], got[k]["med"]], want, rtol=1e-12)
+
+
+def test_crowded_small_values_are_narrowed_until_few_share_a_cell(spark, monkeypatch):
+    """All but one of the values lie far below the width of one logarithmic bin."""
+    from claimbook.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "CELL_ROWS", 20)
+    seen = []
+    running = quantiles._running
+    monkeypatch.setattr(quantiles, "_running", lambda cells, within, order: seen.append(len(within)) or running(cells, within, order))
+    df = spark.range(20_000).selectExpr("id / 2e10 AS v").union(spark.createDataFrame([(0.015,)], "v double"))
+    row = quantile_columns(df, "v", {"med": 0.5, "top": 0.999}).first()
+    want = np.quantile([i / 2e10 for i in range(20_000)] + [0.015], [0.5, 0.999])
+    np.testing.assert_allclose([row["med"], row["top"]], want, rtol=1e-12)
+    assert max(seen) >= 4  # further rounds were worked

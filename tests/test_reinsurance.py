@@ -46,8 +46,8 @@ def excess(spark):
     return spark.createDataFrame(rows, ddl)
 
 
-def flagged_diagonal(run, by, hot_rows):
-    latest = re.develop(run, hot_rows=hot_rows).filter("is_latest = 1")
+def flagged_diagonal(run, by):
+    latest = re.develop(run).filter("is_latest = 1")
     return sorted(
         tuple(r)
         for r in latest.groupBy(*by)
@@ -57,8 +57,7 @@ def flagged_diagonal(run, by, hot_rows):
 
 
 @pytest.mark.parametrize("by", [["accident_year", "maturity_bucket"], ["coverage"], ["accident_year"]])
-@pytest.mark.parametrize("hot_rows", [20, 1_000_000])
-def test_diagonal_equals_the_flagged_rows(primary, by, hot_rows):
+def test_diagonal_equals_the_flagged_rows(primary, by):
     table = re.latest_diagonal(re.value_losses(primary, *re.PRIMARY_LAYER), by=by)
     got = sorted(
         tuple(r)
@@ -66,7 +65,7 @@ def test_diagonal_equals_the_flagged_rows(primary, by, hot_rows):
             *by, F.round("total_incurred", 4), F.round("total_ceded", 4), "claim_count"
         ).collect()
     )
-    assert got == flagged_diagonal(primary, by, hot_rows)
+    assert got == flagged_diagonal(primary, by)
 
 
 def test_a_breakdown_finer_than_the_keys_is_refused(primary):
@@ -115,9 +114,8 @@ def test_corrections_move_the_loss_date_before_grouping(excess):
     run = re.clean_excess_names(excess)
     fixes = re.suggest_corrections(run)
     assert [tuple(r) for r in fixes.collect()] == [("e2", D(2020, 1, 30))]
-    for max_rows in (0, 100):
-        fixed = re.correct_dates(run, fixes, max_rows).filter("claim_number = 'e2'")
-        assert {r["loss_date"] for r in fixed.collect()} == {D(2020, 1, 30)}
+    fixed = re.correct_dates(run, fixes).filter("claim_number = 'e2'")
+    assert {r["loss_date"] for r in fixed.collect()} == {D(2020, 1, 30)}
     unchanged = re.correct_dates(run, fixes).filter("claim_number = 'e1'").first()
     assert unchanged["loss_date"] == D(2020, 1, 1)
 
@@ -143,7 +141,7 @@ def test_unknown_claimants_count_once(spark):
     df = spark.createDataFrame(
         [("a", "x"), ("a", None), ("a", None), ("b", "x")], "claim_number string, claimant_name string"
     )
-    assert [tuple(r) for r in re.claimants(df).collect()] == [("a", 2), ("b", 1)]
+    assert sorted(tuple(r) for r in re.claimants(df).collect()) == [("a", 2), ("b", 1)]
 
 
 @pytest.fixture(scope="module")

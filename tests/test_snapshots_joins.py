@@ -38,10 +38,11 @@ def skewed(spark):
     return data, spark.createDataFrame(data, "k string, d date, v int").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, 1_000_000])
-def test_flags_do_not_depend_on_the_hot_threshold(skewed, hot_rows):
+@pytest.mark.parametrize("hot_parts", [1, 3, 64, 10_000])
+def test_flags_do_not_depend_on_the_hot_share(skewed, monkeypatch, hot_parts):
+    monkeypatch.setattr(joins, "HOT_PARTS", hot_parts)
     data, df = skewed
-    flagged = snapshots.flag_snapshots(df, ["k"], "d", hot_rows)
+    flagged = snapshots.flag_snapshots(df, ["k"], "d")
     got = sorted(
         (r["k"] if r["k"] is not None else "~", str(r["d"]), r["v"], r["is_latest"], r["is_first"])
         for r in flagged.collect()
@@ -79,23 +80,39 @@ def test_totals_plan_brings_no_raw_rows_together(skewed):
     assert "partial_sum" in text
 
 
-def test_hot_rows_are_spread_by_source_partition(skewed):
-    _, df = skewed
-    flagged = snapshots.flag_snapshots(df, ["k"], "d", 50)
-    text = flagged._jdf.queryExecution().toString()
-    assert "SPARK_PARTITION_ID" in text.upper()
+def test_no_task_gets_the_hot_group_after_the_join(spark):
+    rows = spark.range(80_000, numPartitions=8).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k"),
+        (F.col("id") % 365).cast("int").alias("d"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        flagged = snapshots.flag_snapshots(rows, ["k"], "d")
+        sizes = [r["count"] for r in flagged.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 80_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
 
+def test_rows_without_a_group_get_nulls(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, x string")
+    groups = spark.createDataFrame([(1, 5, "one"), (None, 1, "none")], "k int, n int, v string")
+    got = sorted((str(r["k"]), r["x"], r["v"]) for r in joins.join_group_values(rows, groups, ["k"], "n").collect())
+    assert got == [("1", "a", "one"), ("2", "b", None), ("None", "c", "none")]
 
-def test_lookup_join_agrees_above_and_below_the_broadcast_bound(spark):
+
+def test_lookup_join(spark):
     left = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
     look = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
-    small = joins.join_lookup(left, look, "k", max_rows=10)
-    large = joins.join_lookup(left, look, "k", max_rows=1)
-    def pick(d):
-        return sorted((str(r["k"]), str(r["name"])) for r in d.collect())
+    got = sorted((str(r["k"]), str(r["name"])) for r in joins.join_lookup(left, look, "k").collect())
+    assert got == [("1", "a"), ("2", "b"), ("3", "None"), ("None", "None")]
+
 
-    assert pick(small) == pick(large)
-    assert not joins.fits_broadcast(look, 1) and joins.fits_broadcast(look, 2)
+def test_join_fill_keeps_the_missing_values_of_matched_rows(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    right = spark.createDataFrame([(2, None, "x", 1.5), (3, 7, None, None)], "k int, n int, s string, d double")
+    got = sorted(tuple(r) for r in joins.join_fill(left, right, "k").collect())
+    assert got == [(1, 0, None, 0.0), (2, None, "x", 1.5), (3, 7, None, None)]
 
 
 def test_join_fill_touches_only_joined_columns(spark):
