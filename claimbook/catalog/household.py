@@ -17,9 +17,9 @@ def _rounded(df, digits, *cols):
 
 _BUCKETS = (("< 1 yr", "0_1y"), ("1-3 yrs", "1_3y"), ("3-5 yrs", "3_5y"), ("5+ yrs", "5y_plus"))
 _FAULTS = (("_f", "at_fault"), ("_nf", "not_at_fault"))
-_PAID = [f"paid_{slug}_{tidy}" for _, tidy in _FAULTS for _, slug in _BUCKETS]
+PAID_COLUMNS = [f"paid_{slug}_{tidy}" for _, tidy in _FAULTS for _, slug in _BUCKETS]
 
-_PAID_HISTORY = (
+PAID_HISTORY = (
     "SELECT hhld_id, "
     + ", ".join(
         f"round(coalesce(sum(pd_amt) FILTER (bucket = '{b}' AND fault = '{s}'), 0), 2)"
@@ -104,9 +104,9 @@ def years_ago_buckets(spark, sf_dir):
     ).agg(F.count("*").alias("n_claims"), F.round(F.sum("pd_amt"), 2).alias("total_paid"))
 
 
-@query("paid_history_wide", "E7 R1", with_views(_PAID_HISTORY))
+@query("paid_history_wide", "E7 R1", with_views(PAID_HISTORY))
 def paid_history_wide(spark, sf_dir):
-    return _rounded(hh.paid_history(v.claims(spark, sf_dir), v.AS_OF), 2, *_PAID)
+    return _rounded(hh.paid_history(v.claims(spark, sf_dir), v.AS_OF), 2, *PAID_COLUMNS)
 
 
 @query(
@@ -151,14 +151,14 @@ def paid_totals_by_fault(spark, sf_dir):
     "features_with_history",
     "E10 J6",
     with_views(
-        f"WITH h AS ({_PAID_HISTORY}) SELECT c.*, "
-        + ", ".join(f"coalesce(h.{n}, 0) AS {n}" for n in _PAID)
+        f"WITH h AS ({PAID_HISTORY}) SELECT c.*, "
+        + ", ".join(f"coalesce(h.{n}, 0) AS {n}" for n in PAID_COLUMNS)
         + " FROM clean c LEFT JOIN h ON c.hhld_id = h.hhld_id"
     ),
 )
 def features_with_history(spark, sf_dir):
     table = hh.household_features(v.predictors(spark, sf_dir), v.claims(spark, sf_dir), v.AS_OF)
-    return _rounded(table, 2, *_PAID)
+    return _rounded(table, 2, *PAID_COLUMNS)
 
 
 _MERGED = (
@@ -310,11 +310,10 @@ def experience_by_future_claim(spark, sf_dir):
     with_views("""
         SELECT round(sum(loss_amount), 2) AS total_loss_amount, sum(premium) AS total_premium,
                round(sum(loss_amount) / sum(premium), 6) AS total_ratio
-        FROM outcomes o JOIN predictors p ON o.hhld_id = p.hhld_id WHERE p.inforce_ind = 1"""),
+        FROM outcomes"""),
 )
 def portfolio_loss_ratio(spark, sf_dir):
-    inforce = v.predictors(spark, sf_dir).filter("inforce_ind = 1").select("hhld_id")
-    table = hh.portfolio_ratio(v.outcomes(spark, sf_dir).join(inforce, "hhld_id"))
+    table = hh.portfolio_ratio(v.outcomes(spark, sf_dir))
     return _rounded(_rounded(table, 2, "total_loss_amount"), 6, "total_ratio")
 
 
@@ -322,17 +321,17 @@ def portfolio_loss_ratio(spark, sf_dir):
     "modelling_table",
     "G1 J1 X5 P7",
     with_views(
-        f"WITH h AS ({_PAID_HISTORY}) SELECT c.hhld_id, o.future_clm_ind,"
+        f"WITH h AS ({PAID_HISTORY}) SELECT c.hhld_id, o.future_clm_ind,"
         " CASE WHEN o.future_clm_ind = 1 THEN 'Yes' ELSE 'No' END AS future_clm_ind_yn,"
         " c.* EXCLUDE (hhld_id), "
-        + ", ".join(f"coalesce(h.{n}, 0) AS {n}" for n in _PAID)
+        + ", ".join(f"coalesce(h.{n}, 0) AS {n}" for n in PAID_COLUMNS)
         + " FROM clean c LEFT JOIN h ON c.hhld_id = h.hhld_id"
         " LEFT JOIN outcomes o ON c.hhld_id = o.hhld_id"
     ),
 )
 def modelling_table(spark, sf_dir):
     features = hh.household_features(v.predictors(spark, sf_dir), v.claims(spark, sf_dir), v.AS_OF)
-    return _rounded(hh.modelling_table(features, v.outcomes(spark, sf_dir)), 2, *_PAID)
+    return _rounded(hh.modelling_table(features, v.outcomes(spark, sf_dir)), 2, *PAID_COLUMNS)
 
 
 @query(

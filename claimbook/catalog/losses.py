@@ -121,37 +121,28 @@ def report_lag(spark, sf_dir):
     return _rounded(table, 6, "avg_maturity")
 
 
-_CORRECTED = """
-    WITH fixes AS (
-      SELECT claim_number, min(CAST(first_at - INTERVAL 5 MONTH AS DATE)) AS fixed FROM (
-        SELECT claim_number, loss_date, period, min(evaluation_date) AS first_at FROM excess_named
-        GROUP BY claim_number, loss_date, period HAVING min(evaluation_date) < loss_date)
-      GROUP BY claim_number),
-    moved AS (SELECT e.* REPLACE (coalesce(fixed, e.loss_date) AS loss_date)
-              FROM excess_named e LEFT JOIN fixes f ON e.claim_number = f.claim_number),
-    fixed_flags AS (SELECT *,
-        round_even(date_diff('day', loss_date, evaluation_date) / CAST(30 AS DOUBLE), 4) AS maturity,
-        CASE WHEN evaluation_date = max(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_latest,
-        CASE WHEN evaluation_date = min(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_first
-      FROM moved WINDOW w AS (PARTITION BY claim_number, loss_date, period))"""
+def _fixes(spark, sf_dir):
+    """Suggested loss dates, written once because each run is corrected with them."""
+    return materialize(re.suggest_corrections(_excess_named(spark, sf_dir)))
+
+
+def _moved(spark, sf_dir):
+    """The excess run with the suggested loss dates."""
+    return re.correct_dates(_excess_named(spark, sf_dir), _fixes(spark, sf_dir))
 
 
 @query(
     "corrected_loss_dates",
     "K9 K7 X8",
-    with_views(
-        _CORRECTED
-        + """
+    with_views("""
         SELECT claim_number, period, CAST(loss_date AS VARCHAR) AS loss_date,
                CAST(evaluation_date AS VARCHAR) AS evaluation_date, maturity, is_latest, is_first
-        FROM fixed_flags"""
-    ),
+        FROM flagged_moved"""),
 )
 def corrected_loss_dates(spark, sf_dir):
-    run = _excess_named(spark, sf_dir)
-    fixes = materialize(re.suggest_corrections(run))
-    fixed = re.correct_dates(run, fixes)
-    developed = re.develop(fixed, re.EXCESS_KEYS, *re.EXCESS_LAYER, floor_at_zero=False)
+    developed = re.develop(
+        _moved(spark, sf_dir), re.EXCESS_KEYS, *re.EXCESS_LAYER, floor_at_zero=False
+    )
     return developed.select(
         "claim_number",
         "period",
@@ -223,7 +214,7 @@ _EXCESS_DIAGONAL = """
         SELECT 'Data2 - $1M XS $1M' AS data_source, accident_year, maturity_bucket,
                sum(incurred_loss) AS total_incurred, sum(ceded_loss) AS total_ceded,
                count(*) AS claim_count
-        FROM flagged_excess WHERE is_latest = 1
+        FROM flagged_moved WHERE is_latest = 1
           AND period IN ('Transporting Rider', 'En Route To Pickup') GROUP BY 2, 3"""
 
 
@@ -231,9 +222,8 @@ def _diagonals(spark, sf_dir, by=("accident_year", "maturity_bucket")):
     first = re.latest_diagonal(
         _primary(spark, sf_dir), re.PRIMARY_KEYS, by, "ceded", re.PRIMARY_SOURCE
     )
-    second = re.latest_diagonal(
-        re.covered(_excess(spark, sf_dir)), re.EXCESS_KEYS, by, "rows", re.EXCESS_SOURCE
-    )
+    moved = re.value_losses(_moved(spark, sf_dir), *re.EXCESS_LAYER, floor_at_zero=False)
+    second = re.latest_diagonal(re.covered(moved), re.EXCESS_KEYS, by, "rows", re.EXCESS_SOURCE)
     return first, second
 
 
@@ -319,7 +309,10 @@ def exposure_by_segment(spark, sf_dir):
 )
 def loss_cost_by_maturity(spark, sf_dir):
     table = re.ceded_experience(
-        v.loss_run_primary(spark, sf_dir), v.loss_run_excess(spark, sf_dir), v.trips(spark, sf_dir)
+        v.loss_run_primary(spark, sf_dir),
+        v.loss_run_excess(spark, sf_dir),
+        v.trips(spark, sf_dir),
+        _fixes(spark, sf_dir),
     )
     return _rounded(_money(table), 8, "ceded_frequency")
 
@@ -344,6 +337,7 @@ def loss_cost_at_common_valuation(spark, sf_dir):
         v.loss_run_primary(spark, sf_dir),
         v.loss_run_excess(spark, sf_dir),
         v.trips(spark, sf_dir),
+        _fixes(spark, sf_dir),
         valuation_year=VALUATION_YEAR,
     )
     return _rounded(_money(table), 8, "ceded_frequency")

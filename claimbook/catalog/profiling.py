@@ -35,7 +35,14 @@ def _trips(spark, sf_dir):
 
 # ------------------------------------------------------------- profiling
 
-_SUMMARY_COLS = ("avg_age", "credit_score", "drvr_cnt", "time_w_carr", "veh_cnt", "veh_lien_cnt")
+# Every numeric column of the predictor table.
+_SUMMARY_COLS = (
+    "inforce_ind", "prior_bi", "time_w_carr", "credit_score", "veh_cnt", "veh_own_cnt", "veh_lease_cnt",
+    "veh_lien_cnt", "cnt_auto", "cnt_mtrcyc", "veh_w_coll_cnt", "veh_w_comp_cnt", "veh_w_ers_cnt", "drvr_cnt",
+    "cnt_female", "cnt_male", "cnt_married", "cnt_single", "cnt_yth", "min_age", "avg_age", "max_age", "hoh_age",
+    "min_mon_lic", "avg_mon_lic", "max_mon_lic", "hoh_mon_lic", "cnt_minr_viol", "avg_minr_viol", "cnt_majr_viol",
+    "avg_majr_viol", "cnt_lic_susp", "fire_ind", "homeowner_ind", "curnt_bi_low", "curnt_bi_upp",
+)
 
 
 def _summary_sql(source, cols):
@@ -119,17 +126,38 @@ def ratio_reconciles(spark, sf_dir):
     return _rounded(found.select("hhld_id", "loss_ratio", "ratio_gap"), 6, "loss_ratio", "ratio_gap")
 
 
-@query(
-    "parts_add_up",
-    "D5",
-    with_views("""
-        SELECT hhld_id, cnt_female, cnt_married, drvr_cnt,
-               drvr_cnt - (cnt_female + cnt_married) AS sum_gap
-        FROM predictors WHERE drvr_cnt - (cnt_female + cnt_married) <> 0"""),
-)
-def parts_add_up(spark, sf_dir):
-    df = v.predictors(spark, sf_dir).select("hhld_id", "cnt_female", "cnt_married", "drvr_cnt")
-    return quality.check_sum(df, ["cnt_female", "cnt_married"], "drvr_cnt")
+# The four reconciliations of parts with their total.
+_PARTS = {
+    "vehicles_by_ownership": (("veh_own_cnt", "veh_lease_cnt", "veh_lien_cnt"), "veh_cnt"),
+    "vehicles_by_kind": (("cnt_auto", "cnt_mtrcyc"), "veh_cnt"),
+    "drivers_by_sex": (("cnt_female", "cnt_male"), "drvr_cnt"),
+    "drivers_by_marital_status": (("cnt_married", "cnt_single"), "drvr_cnt"),
+}
+
+
+def _register_parts(name, parts, total):
+    """Rows whose parts do not add up, on counts of which every 13th is made wrong by one."""
+    gap = f"{total} - ({' + '.join(parts)})"
+
+    @query(
+        f"{name}_add_up",
+        "D5",
+        with_views(f"""
+            SELECT hhld_id, {", ".join(parts)}, {total}, {gap} AS sum_gap
+            FROM (SELECT * REPLACE (CAST({total} + CASE WHEN hhld_id % 13 = 0 THEN 1 ELSE 0 END AS INTEGER)
+                                    AS {total}) FROM predictors)
+            WHERE {gap} <> 0"""),
+    )
+    def parts_add_up(spark, sf_dir):
+        wrong = F.when(F.col("hhld_id") % 13 == 0, 1).otherwise(0)
+        df = v.predictors(spark, sf_dir).select(
+            "hhld_id", *parts, (F.col(total) + wrong).cast("int").alias(total)
+        )
+        return quality.check_sum(df, list(parts), total)
+
+
+for _name, (_parts, _total) in _PARTS.items():
+    _register_parts(_name, _parts, _total)
 
 
 @query(
@@ -562,15 +590,15 @@ def monthly_claims(spark, sf_dir):
     "T2",
     with_views("""
         WITH m AS (SELECT coverage, CAST(date_trunc('month', evaluation_date) AS DATE) AS month,
-                          count(*) AS n FROM loss_run_primary WHERE paid_loss >= 1000000 GROUP BY 1, 2),
+                          count(*) AS n FROM loss_run_primary GROUP BY 1, 2),
         s AS (SELECT coverage, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))
                                     AS DATE) AS month FROM m GROUP BY coverage)
         SELECT s.coverage, CAST(s.month AS VARCHAR) AS month, n AS n_rows
         FROM s LEFT JOIN m ON m.coverage = s.coverage AND m.month = s.month"""),
 )
 def dense_monthly_series(spark, sf_dir):
-    capped = v.loss_run_primary(spark, sf_dir).filter(F.col("paid_loss") >= 1_000_000)
-    series = timeseries.monthly(capped, "evaluation_date", {"n_rows": F.count("*")}, ["coverage"])
+    run = v.loss_run_primary(spark, sf_dir)
+    series = timeseries.monthly(run, "evaluation_date", {"n_rows": F.count("*")}, ["coverage"])
     dense = timeseries.month_spine(series, by=["coverage"])
     return dense.withColumn("month", F.col("month").cast("string"))
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimbook.catalog import views as v
+from claimbook.catalog.household import PAID_COLUMNS, PAID_HISTORY
 from claimbook.catalog.registry import query
 from claimbook.catalog.views import with_views
 from claimbook.operators import correlation, crossval, glm, lasso, pca
 from claimbook.plans import households as hh
 from claimbook.plans import modelling as mod
+from claimbook.sources.scratch import materialize
 
 
 def _rounded(df, digits, *cols):
@@ -42,34 +44,64 @@ def pair_correlation(spark, sf_dir):
     return _rounded(table, 8, "r")
 
 
-_CORR_COLS = ("avg_age", "avg_mon_lic", "cnt_auto", "cnt_female", "drvr_cnt", "veh_cnt")
+# Numeric columns of the feature table, claim history included.
+_CORR_COLS = (
+    *("inforce_ind", "prior_bi", "time_w_carr", "credit_score", "veh_cnt", "veh_own_cnt", "veh_lease_cnt"),
+    *("veh_lien_cnt", "cnt_auto", "cnt_mtrcyc", "veh_w_coll_cnt", "veh_w_comp_cnt", "veh_w_ers_cnt", "drvr_cnt"),
+    *("cnt_female", "cnt_male", "cnt_married", "cnt_single", "cnt_yth", "min_age", "avg_age", "max_age", "hoh_age"),
+    *("min_mon_lic", "avg_mon_lic", "max_mon_lic", "hoh_mon_lic", "cnt_minr_viol", "avg_minr_viol"),
+    *("cnt_majr_viol", "avg_majr_viol", "cnt_lic_susp", "fire_ind", "homeowner_ind", "curnt_bi"),
+    *("hoh_married_ind", "prior_insurer_major", "prior_insurer_minor", "prior_insurer_missing"),
+    *PAID_COLUMNS,
+)
+_FEATURES = (
+    f"h AS ({PAID_HISTORY}), features AS (SELECT c.*, "
+    + ", ".join(f"coalesce(h.{n}, 0) AS {n}" for n in PAID_COLUMNS)
+    + " FROM clean c LEFT JOIN h ON c.hhld_id = h.hhld_id)"
+)
 
 
 def _corr_sql(where):
-    pairs = " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM clean"
-        for a in _CORR_COLS
-        for b in _CORR_COLS
-    )
-    return f"SELECT a, b, round(r, 8) AS r FROM ({pairs}) {where}"
+    names = [(a, b) for a in _CORR_COLS for b in _CORR_COLS]
+    wide = ", ".join(f"corr({a}, {b}) AS c{i}" for i, (a, b) in enumerate(names))
+    keys = ", ".join(f"('c{i}', '{a}', '{b}')" for i, (a, b) in enumerate(names))
+    return f"""WITH {_FEATURES}, wide AS (SELECT {wide} FROM features),
+        long AS (SELECT k, r FROM wide UNPIVOT INCLUDE NULLS (r FOR k IN (COLUMNS(*)))),
+        pairs(k, a, b) AS (VALUES {keys})
+        SELECT a, b, CASE WHEN isnan(r) THEN NULL ELSE round(r, 8) END AS r
+        FROM pairs JOIN long USING (k) {where}"""
+
+
+def _features(spark, sf_dir):
+    return hh.household_features(v.predictors(spark, sf_dir), v.claims(spark, sf_dir), v.AS_OF)
 
 
 @query("correlation_matrix", "M2", with_views(_corr_sql("")))
 def correlation_matrix(spark, sf_dir):
-    return _rounded(correlation.correlations(_clean(spark, sf_dir), _CORR_COLS), 8, "r")
+    return _rounded(correlation.correlations(_features(spark, sf_dir), _CORR_COLS), 8, "r")
 
 
-@query("correlated_pairs", "M3 U3 F9 L2", with_views(_corr_sql("WHERE a < b AND abs(r) > 0.3")))
+@query("correlated_pairs", "M3 U3 F9 L2", with_views(_corr_sql("WHERE a < b AND abs(r) > 0.5")))
 def correlated_pairs(spark, sf_dir):
-    table = correlation.correlations(_clean(spark, sf_dir), _CORR_COLS)
-    return _rounded(correlation.top_pairs(table, 0.3), 8, "r")
+    table = correlation.correlations(_features(spark, sf_dir), _CORR_COLS)
+    return _rounded(correlation.top_pairs(table, 0.5), 8, "r")
 
 
 @query("correlation_filter", "M4")
 def correlation_filter(spark, sf_dir):
-    clean = _clean(spark, sf_dir)
-    numeric = [c for c, t in clean.dtypes if t in ("int", "double") and c != "hhld_id"]
-    dropped = correlation.drop_correlated(correlation.correlations(clean, numeric), 0.6)
+    """First round: the feature table with claim history."""
+    dropped = correlation.drop_correlated(
+        correlation.correlations(_features(spark, sf_dir), _CORR_COLS), 0.6
+    )
+    return spark.createDataFrame([(c,) for c in dropped], "dropped string")
+
+
+@query("correlation_filter_with_scores", "M4")
+def correlation_filter_with_scores(spark, sf_dir):
+    """Second round: column families replaced by their scores."""
+    scored, _ = pca.replace_with_scores(_features(spark, sf_dir), mod.FAMILIES)
+    numeric = [c for c, t in scored.dtypes if t in ("int", "double") and c != "hhld_id"]
+    dropped = correlation.drop_correlated(correlation.correlations(scored, numeric), 0.6)
     return spark.createDataFrame([(c,) for c in dropped], "dropped string")
 
 
@@ -110,10 +142,15 @@ def component_variance_two_columns(spark, sf_dir):
     return _rounded(pca.pca_variance(spark, model), 8, "share", "cumulative")
 
 
-@query("component_variance_vehicles", "M6 M7")
-def component_variance_vehicles(spark, sf_dir):
-    model = pca.fit_pca(_clean(spark, sf_dir), mod.INDEPENDENT_VEHICLES, 6)
-    return pca.pca_variance(spark, model)
+def _register_scree(name, family, k):
+    @query(f"component_variance_{name}", "M6 M7")
+    def component_variance(spark, sf_dir):
+        return pca.pca_variance(spark, pca.fit_pca(_clean(spark, sf_dir), family, k))
+
+
+_register_scree("ages", mod.AGE_FAMILY, len(mod.AGE_FAMILY))
+_register_scree("drivers", mod.DRIVER_FAMILY, len(mod.DRIVER_FAMILY))
+_register_scree("vehicles", mod.VEHICLE_FAMILY, len(mod.VEHICLE_FAMILY))
 
 
 @query(
@@ -443,32 +480,51 @@ def fold_metrics(spark, sf_dir):
 # ------------------------------------------------ reports and model selection
 
 
+def _final_report(spark, sf_dir):
+    return crossval.evaluate_glm(
+        _labelled(spark, sf_dir), "hhld_id", "future_clm_ind", mod.FINAL_FEATURES, k=10
+    )
+
+
 @query("model_report_coefficients", "G12 G3")
 def model_report_coefficients(spark, sf_dir):
-    table = _labelled(spark, sf_dir)
-    report = crossval.evaluate_glm(
-        table, "hhld_id", "future_clm_ind", mod.FINAL_FEATURES, k=5
-    )
+    report = _final_report(spark, sf_dir)
     return report["coefficients"].join(report["vif"], "term", "left")
 
 
+def _register_report(part):
+    @query(f"model_report_{part}", "G12")
+    def model_report(spark, sf_dir):
+        return _final_report(spark, sf_dir)[part]
+
+
+for _part in ("fit", "importance", "predictions", "confusion", "statistics", "probabilities", "folds"):
+    _register_report(_part)
+
+
+def _full(spark, sf_dir):
+    """The whole modelling table, scores and history included, and its feature names."""
+    table = materialize(
+        mod.full_table(
+            v.predictors(spark, sf_dir), v.claims(spark, sf_dir), v.outcomes(spark, sf_dir), v.AS_OF
+        )
+    )
+    return table, mod.features_of(table)
+
+
 @query("lasso_error_curve", "G13")
 def lasso_error_curve(spark, sf_dir):
-    table = _labelled(spark, sf_dir)
-    path = lasso.lasso_path(
-        table, "hhld_id", "future_clm_ind", mod.CANDIDATES, mod.CATEGORICAL
-    )
+    table, names = _full(spark, sf_dir)
+    path = lasso.lasso_path(table, "hhld_id", "future_clm_ind", names, mod.CATEGORICAL, k=10)
     return path.table(spark)
 
 
 @query("lasso_selected_features", "G14 G13")
 def lasso_selected_features(spark, sf_dir):
-    table = _labelled(spark, sf_dir)
-    path = lasso.lasso_path(
-        table, "hhld_id", "future_clm_ind", mod.CANDIDATES, mod.CATEGORICAL
-    )
+    table, names = _full(spark, sf_dir)
+    path = lasso.lasso_path(table, "hhld_id", "future_clm_ind", names, mod.CATEGORICAL, k=10)
     values = lasso.lasso_coefficients(
-        table, "future_clm_ind", mod.CANDIDATES, path.lambda_min, mod.CATEGORICAL
+        table, "future_clm_ind", names, path.lambda_1se, mod.CATEGORICAL
     )
     return spark.createDataFrame(
         [(t, c, c != 0.0) for t, c in values.items()],
@@ -476,6 +532,12 @@ def lasso_selected_features(spark, sf_dir):
     )
 
 
+@query("model_ready_table_with_scores", "E12 M9")
+def model_ready_table_with_scores(spark, sf_dir):
+    """The exported table with scores and history, as the models read it."""
+    return _full(spark, sf_dir)[0]
+
+
 @query("model_sequence", "G17 G12 G15 G16")
 def model_sequence(spark, sf_dir):
     return mod.model_sequence(
@@ -483,5 +545,5 @@ def model_sequence(spark, sf_dir):
         v.claims(spark, sf_dir),
         v.outcomes(spark, sf_dir),
         v.AS_OF,
-        k=3,
+        k=10,
     )

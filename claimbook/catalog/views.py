@@ -437,6 +437,29 @@ SQL_VIEWS = {
         SELECT *, CASE WHEN evaluation_date = max(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_latest,
                   CASE WHEN evaluation_date = min(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_first
         FROM valued_excess WINDOW w AS (PARTITION BY claim_number, loss_date, period)""",
+    "moved_excess": """
+        SELECT e.* REPLACE (coalesce(fixed, e.loss_date) AS loss_date)
+        FROM excess_named e LEFT JOIN (
+          SELECT claim_number, min(CAST(first_at - INTERVAL 5 MONTH AS DATE)) AS fixed FROM (
+            SELECT claim_number, loss_date, period, min(evaluation_date) AS first_at FROM excess_named
+            GROUP BY claim_number, loss_date, period HAVING min(evaluation_date) < loss_date)
+          GROUP BY claim_number) f ON e.claim_number = f.claim_number""",
+    "valued_moved": """
+        SELECT *, CASE WHEN maturity <= 3 THEN '3m' WHEN maturity <= 6 THEN '6m'
+                       WHEN maturity <= 9 THEN '9m' WHEN maturity <= 12 THEN '1y'
+                       WHEN maturity <= 24 THEN '2y' WHEN maturity <= 36 THEN '3y'
+                       WHEN maturity <= 48 THEN '4y' ELSE '4y+' END AS maturity_bucket
+        FROM (SELECT *, paid_loss + reserve_loss AS incurred_loss,
+                least(paid_loss + reserve_loss, 500000) AS ceded_loss,
+                CASE WHEN paid_loss + reserve_loss > 0 THEN 1 ELSE 0 END AS is_ceded,
+                round_even(date_diff('day', loss_date, evaluation_date) / CAST(30 AS DOUBLE), 4)
+                  AS maturity,
+                CAST(year(loss_date) AS INTEGER) AS accident_year
+              FROM moved_excess)""",
+    "flagged_moved": """
+        SELECT *, CASE WHEN evaluation_date = max(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_latest,
+                  CASE WHEN evaluation_date = min(evaluation_date) OVER w THEN 1 ELSE 0 END AS is_first
+        FROM valued_moved WINDOW w AS (PARTITION BY claim_number, loss_date, period)""",
     "trips_clean": """
         SELECT "a.trip_identifier" || '|' || "a.driver_identifier" || '|' || "a.vehicle_identifier"
                  AS trip_key,

@@ -240,7 +240,7 @@ def compare_models(
                 score["accuracy"],
                 score["kappa"],
                 score["balanced_accuracy"],
-                float(factors[0]),
+                None if factors[0] is None else float(factors[0]),
             )
         )
     return specs[0].table.sparkSession.createDataFrame(

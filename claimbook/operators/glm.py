@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -74,7 +75,7 @@ class GlmModel:
     p_values: dict[str, float]
     n_rows: int
     n_iterations: int
-    fitted: GeneralizedLinearRegressionModel = field(repr=False)
+    fitted: GeneralizedLinearRegressionModel | None = field(repr=False)
 
     def linear(self) -> Column:
         """Linear predictor as a plain column expression."""
@@ -113,6 +114,19 @@ def _independent(rows: DataFrame, n_terms: int) -> list[int]:
     return independent_columns(gram)
 
 
+def _intercept_only(rows: DataFrame, design: Design, aliased: tuple[str, ...]) -> GlmModel:
+    """A model without terms: the log odds of the rate, in closed form."""
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate")).first()
+    n, rate = int(facts["n"]), float(facts["rate"])
+    estimate = math.log(rate / (1.0 - rate))
+    error = 1.0 / math.sqrt(n * rate * (1.0 - rate))
+    z = estimate / error
+    return GlmModel(
+        design, (), aliased, {INTERCEPT: estimate}, {INTERCEPT: error}, {INTERCEPT: z},
+        {INTERCEPT: math.erfc(abs(z) / math.sqrt(2.0))}, n, 0, None,
+    )
+
+
 def fit_rows(
     rows: DataFrame,
     design: Design,
@@ -123,6 +137,8 @@ def fit_rows(
     """Fit on the output of ``design_rows``; aliased terms are found and left out."""
     names = list(design.terms())
     positions = list(kept) if kept is not None else _independent(rows, len(names))
+    if not positions:
+        return _intercept_only(rows, design, tuple(names))
     assembled = VectorAssembler(
         inputCols=[f"_t{i}" for i in positions], outputCol="features"
     ).transform(rows)
@@ -244,6 +260,8 @@ def vif(
     One scan sums the cross products, weighted by p(1 - p) of the fitted model
     (or unweighted); the matrix is terms by terms.
     """
+    if not model.kept:
+        return df.sparkSession.createDataFrame([], "term string, vif double, is_high boolean")
     terms = model.design.terms()
     p = model.probability()
     weight = p * (F.lit(1.0) - p) if weighted else None

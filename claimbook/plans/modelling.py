@@ -50,35 +50,16 @@ FAMILIES = {
     "veh_cnt_pc": (VEHICLE_FAMILY, 6),
 }
 
-# Vehicle columns without the two that follow from the others.
-INDEPENDENT_VEHICLES = tuple(c for c in VEHICLE_FAMILY if c not in ("cnt_mtrcyc", "veh_lien_cnt"))
-
 # The final model and the base level of the insurer bucket.
 FINAL_FEATURES = ("prior_bi", "credit_score", "avg_age", "inforce_ind")
 CATEGORICAL = {"prior_insurer_bucket": "Major_Insurer"}
 
-# Candidate features of the penalty search, before component scores.
-CANDIDATES = (
-    "prior_bi",
-    "time_w_carr",
-    "credit_score",
-    "cnt_minr_viol",
-    "cnt_majr_viol",
-    "cnt_lic_susp",
-    "fire_ind",
-    "homeowner_ind",
-    "curnt_bi",
-    "avg_age",
-    "drvr_cnt",
-    "veh_cnt",
-    "prior_insurer_bucket",
-)
-
 LABEL = "future_clm_ind"
 KEY = "hhld_id"
 
 
-def _features(table: DataFrame) -> list[str]:
+def features_of(table: DataFrame) -> list[str]:
+    """Feature names of a modelling table: all columns but the key and the response."""
     return [c for c in table.columns if c not in (KEY, LABEL, f"{LABEL}_yn")]
 
 
@@ -107,8 +88,9 @@ def model_sequence(
     """Compare the nested models, one row each.
 
     All features; claim history collapsed to two totals; the lasso subset of
-    that; the insurer bucket swapped for the in-force flag; the lasso subset
-    again; average age in place of the age score.
+    that at one standard error (an empty choice leaves the intercept alone); the
+    insurer bucket swapped for the in-force flag; the lasso subset again; average
+    age in place of the age score.
     """
     full = full_table(predictors, claims, outcomes, as_of).persist()
     collapsed = hh.collapse_history(full, claims, as_of).persist()
@@ -119,24 +101,22 @@ def model_sequence(
     try:
 
         def chosen(table: DataFrame, categorical) -> list[str]:
-            names = _features(table)
+            names = features_of(table)
             path = lasso_path(table, KEY, LABEL, names, categorical, k, seed=seed)
             terms = lasso_select(table, LABEL, names, path.lambda_1se, categorical)
-            if not terms:
-                terms = lasso_select(table, LABEL, names, path.lambda_min, categorical)
-            return _columns_of(terms, names) or names
+            return _columns_of(terms, names)
 
         first, second = chosen(collapsed, CATEGORICAL), chosen(swapped, None)
         specs = [
-            ModelSpec("all features", full, _features(full), CATEGORICAL),
-            ModelSpec("collapsed history", collapsed, _features(collapsed), CATEGORICAL),
+            ModelSpec("all features", full, features_of(full), CATEGORICAL),
+            ModelSpec("collapsed history", collapsed, features_of(collapsed), CATEGORICAL),
             ModelSpec(
                 "lasso subset",
                 collapsed,
                 first,
                 {c: b for c, b in CATEGORICAL.items() if c in first},
             ),
-            ModelSpec("in-force flag", swapped, _features(swapped)),
+            ModelSpec("in-force flag", swapped, features_of(swapped)),
             ModelSpec("lasso subset with flag", swapped, second),
             ModelSpec("final", aged, FINAL_FEATURES),
         ]
