@@ -16,16 +16,16 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimbook.llm.tables import plus, slices, texts_of
+from claimbook.llm.tables import slices
 
 GRAM = 4
 DOCS_PER_SHARD = 256
@@ -34,28 +34,33 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """Hashes of the words of texts; a word is a run of bytes that are not ASCII white space."""
+    """Hashes of the words of texts; a word is a run of characters that are not ASCII white space."""
 
     def __init__(self):
-        self.code: dict[bytes, int] = {}
-        self.hash = array("Q")
-
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word of the texts in a row, and the owning text of each."""
-        if len(self.hash) > MEMO:
-            self.__init__()
-        get, out, lengths = self.code.get, [], []
-        for text in texts:
-            words = text.split()
-            lengths.append(len(words))
-            for word in words:
-                at = get(word)
-                if at is None:
-                    self.code[word] = at = len(self.hash)
-                    self.hash.append(xxh64_intdigest(word))
-                out.append(at)
-        known = np.frombuffer(self.hash, np.uint64) if self.hash else np.zeros(0, np.uint64)
-        return known[np.array(out, np.int64)], np.repeat(np.arange(len(texts)), lengths)
+        self.known: dict[str, int] = {}
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of the texts in a row, and the owning text of each."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        full = pc.not_equal(pc.binary_length(words), 0)
+        if not pc.all(full).as_py():
+            words, owner = words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+        return words, owner
+
+    def hashes(self, words: pa.Array) -> np.ndarray:
+        """Hash of every word; each distinct word is hashed once while it is remembered."""
+        coded = words.dictionary_encode()
+        known = self.known
+        if len(known) > MEMO:
+            known.clear()
+        distinct = coded.dictionary.to_pylist()
+        found = [known.get(w) for w in distinct]
+        for i, h in enumerate(found):
+            if h is None:
+                found[i] = known[distinct[i]] = xxh64_intdigest(distinct[i])
+        return np.array(found, np.uint64)[coded.indices.to_numpy()]
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -85,27 +90,25 @@ def seeds(h: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np
     return start, place[start], gram
 
 
-def _encoded(texts: pa.Array) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in texts_of(texts)]
-
-
 def _seed_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in slices(batches, 2048):
-            h, owner = words.hashes(_encoded(batch.column(1)))
-            _, place, gram = seeds(h, owner, window)
+        vocabulary = Words()
+        for batch in slices(batches, 4096):
+            words, owner = vocabulary.split(batch.column(1))
+            _, place, gram = seeds(vocabulary.hashes(words), owner, window)
             place = np.unique(place)
-            pair = np.unique(np.stack([owner[place].astype(np.uint64), gram[place]], axis=1), axis=0)
+            seed, doc = gram[place], owner[place]
+            order = np.lexsort((seed, doc))
+            seed, doc = seed[order], doc[order]
+            new = np.ones(len(seed), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[:, 1].copy().view(np.int64)), batch.column(0).take(pa.array(pair[:, 0].astype(np.int64)))],
-                names=["seed", "doc"],
-            )
+                [pa.array(seed[new].view(np.int64)), batch.column(0).take(pa.array(doc[new]))], names=["seed", "doc"])
 
     return run
 
 
-SPANS = "shard long, copy int, is_reference boolean, doc long, tag long, start int, words binary, asked binary"
+SPANS = "shard long, copy int, is_reference boolean, doc long, tag long, start int, words string, asked binary"
 
 
 def _span_rows(window: int):
@@ -113,41 +116,53 @@ def _span_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Words()
-        for batch in slices(batches, 1024):
-            texts = _encoded(batch.column(2))
+        for batch in slices(batches, 2048):
             docs, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            flat, owner = vocabulary.split(batch.column(2))
+            starts, places, gram = seeds(vocabulary.hashes(flat), owner, window)
+            parts = flat.to_pylist()
+            text_at = np.searchsorted(owner, np.arange(len(docs)))
+            window_at = np.searchsorted(owner[starts], np.arange(len(docs) + 1))
+            lists = batch.column(3)
+            at_list, known = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            all_seed, all_first, all_held = (known.field(i).to_numpy() for i in range(3))
             rows: list[list] = [[] for _ in names]
-            for i, text in enumerate(texts):
-                known = batch.column(3)[i].values
-                h, owner = vocabulary.hashes([text])
-                start, place, gram = seeds(h, owner, window)
-                if not len(start):
+            for i, (doc, tag) in enumerate(zip(docs, tags, strict=True)):
+                lo, hi = window_at[i], window_at[i + 1]
+                if lo == hi:
                     continue
-                seed = known.field(0).to_numpy().view(np.uint64)
+                seed = all_seed[at_list[i] : at_list[i + 1]].view(np.uint64)
                 order = np.argsort(seed)
                 seed = seed[order]
-                first, held = known.field(1).to_numpy()[order], known.field(2).to_numpy()[order]
-                at = np.minimum(np.searchsorted(seed, gram[place]), len(seed) - 1)
-                hit = seed[at] == gram[place]
-                start, first, held = start[hit], first[at[hit]], held[at[hit]]
-                parts = text.split()
+                wanted = gram[places[lo:hi]]
+                at = np.minimum(np.searchsorted(seed, wanted), len(seed) - 1)
+                hit = np.flatnonzero(seed[at] == wanted)
+                if not len(hit):
+                    continue
+                entry = order[at[hit]] + at_list[i]
+                start, first, held = starts[lo:hi][hit] - text_at[i], all_first[entry], all_held[entry]
                 order = np.lexsort((start, first))
-                start, first, held = start[order], first[order], held[order]
-                shard_cuts = np.flatnonzero(np.diff(first, prepend=first[:1] - 1))
-                for a, b in zip(shard_cuts, np.append(shard_cuts[1:], len(first)), strict=True):
+                start, first = start[order], first[order]
+                opens = np.ones(len(start), bool)
+                opens[1:] = (first[1:] != first[:-1]) | (start[1:] - start[:-1] > window)
+                cuts = np.flatnonzero(opens).tolist()
+                most = {}
+                for shard, n in zip(first.tolist(), held[order].tolist(), strict=True):
+                    if n > most.get(shard, 0):
+                        most[shard] = n
+                draw = xxh64_intdigest(str(doc))
+                for a, b in zip(cuts, [*cuts[1:], len(start)], strict=True):
                     shard, here = int(first[a]), start[a:b]
-                    copies = -(-int(held[a:b].max()) // DOCS_PER_SHARD)
-                    mine = shard == docs[i]
-                    span_cuts = np.flatnonzero(np.diff(here, prepend=here[0] - 2 * window) > window)
-                    for c, d in zip(span_cuts, np.append(span_cuts[1:], len(here)), strict=True):
-                        low, high = int(here[c]), int(here[d - 1]) + window
-                        asked = np.zeros(high - low, bool)
-                        asked[here[c:d] - low] = True
-                        body, bits = b" ".join(parts[low:high]), np.packbits(asked).tobytes()
-                        for copy in range(copies) if mine else (xxh64_intdigest(str(docs[i]).encode()) % copies,):
-                            for column, value in zip(rows, (shard, copy, mine, docs[i], tags[i], low, body, bits), strict=True):
-                                column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    copies = -(-most[shard] // DOCS_PER_SHARD)
+                    mine = shard == doc
+                    low, high = int(here[0]), int(here[-1]) + window
+                    asked = np.zeros(high - low, bool)
+                    asked[here - low] = True
+                    body, bits = " ".join(parts[text_at[i] + low : text_at[i] + high]), np.packbits(asked).tobytes()
+                    for copy in range(copies) if mine else (draw % copies,):
+                        for column, value in zip(rows, (shard, copy, mine, doc, tag, low, body, bits), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, kind) for v, kind in zip(rows, kinds, strict=True)], names=names)
 
@@ -206,15 +221,19 @@ class SuffixAutomaton:
         return out
 
 
-FOUND = "doc long, tag long, low array<int>, high array<int>, open array<int>, hash array<long>"
+FOUND = "doc long, tag long, low int, high int, hash long"
 
 
 def _match(window: int):
+    """Parts to cut (no hash), and windows of known seed that the reference lacks (with their hash)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, shard, reference, automaton = Words(), None, [], None
         for batch in slices(batches, 4096):
-            out: list[list] = [[] for _ in range(6)]
-            for key, copy, mine, doc, tag, start, body, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc, tag, low, high = [], [], [], []
+            rest, bodies = [], []
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for i, (key, copy, mine, name, mark, start, body, bits) in enumerate(rows):
                 if (key, copy) != shard:
                     shard, reference, automaton = (key, copy), [], None
                 if mine:
@@ -223,50 +242,73 @@ def _match(window: int):
                 if automaton is None:
                     automaton = SuffixAutomaton()
                     for number, text in enumerate(reference):
-                        automaton.extend(text.split())
+                        automaton.extend(text.split(" "))
                         automaton.extend([number])  # a word of its own between spans
                     reference = []
-                words = body.split()
-                ends = np.flatnonzero(np.array(automaton.matches(words)) >= window)
-                cuts = np.flatnonzero(np.diff(ends, prepend=-2 * window) > window)
-                low = (ends[cuts] - window + 1 + start).tolist()
-                high = (ends[np.append(cuts[1:] - 1, len(ends) - 1)] + 1 + start).tolist() if len(ends) else []
-                asked = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
-                asked[ends - window + 1] = False
-                rest = np.flatnonzero(asked)
-                hashes = rolled(vocabulary.hashes([body])[0], window)[rest] if len(rest) else np.zeros(0, np.uint64)
-                if low or len(rest):
-                    for column, value in zip(out, (doc, tag, low, high, (rest + start).tolist(), hashes.view(np.int64).tolist()), strict=True):
-                        column.append(value)
-            ints = pa.list_(pa.int32())
+                words = body.split(" ")
+                ends = [e for e, n in enumerate(automaton.matches(words)) if n >= window]
+                asked = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words))
+                if ends:
+                    asked[np.array(ends) - (window - 1)] = 0
+                    first = last = ends[0]
+                    for e in [*ends[1:], None]:
+                        if e is None or e - last > window:
+                            doc.append(name)
+                            tag.append(mark)
+                            low.append(start + first - window + 1)
+                            high.append(start + last + 1)
+                            first = e
+                        last = e
+                left = np.flatnonzero(asked)
+                if len(left):
+                    rest.append((i, name, mark, start, left))
+                    bodies.append(body)
+            direct = len(doc)
+            hashed = np.zeros(0, np.uint64)
+            if rest:
+                flat, owner = vocabulary.split(pa.array(bodies, pa.string()))
+                windows = rolled(vocabulary.hashes(flat), window)
+                at = np.searchsorted(owner, np.arange(len(bodies)))
+                count = [len(r[4]) for r in rest]
+                hashed = windows[np.concatenate([r[4] + a for r, a in zip(rest, at, strict=True)])]
+                doc = np.concatenate([np.array(doc, np.int64), np.repeat([r[1] for r in rest], count)])
+                tag = np.concatenate([np.array(tag, np.int64), np.repeat([r[2] for r in rest], count)])
+                begin = np.concatenate([r[4] + r[3] for r in rest])
+                low, high = np.concatenate([np.array(low, np.int64), begin]), np.concatenate([np.array(high, np.int64), begin + window])
+            mask = np.zeros(len(doc), bool)
+            mask[:direct] = True
+            padded = np.concatenate([np.zeros(direct, np.int64), hashed.view(np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, kind) for v, kind in zip(
-                    out, (pa.int64(), pa.int64(), ints, ints, ints, pa.list_(pa.int64())), strict=True)],
-                names=["doc", "tag", "low", "high", "open", "hash"])
+                [pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                 pa.array(padded, pa.int64(), mask=mask)],
+                names=["doc", "tag", "low", "high", "hash"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1024):
-        kept, total, removed = [], [], []
-        tags = batch.column(1).to_pylist()
-        for i, text in enumerate(_encoded(batch.column(2))):
-            words = text.split()
+    vocabulary = Words()
+    for batch in slices(batches, 2048):
+        flat, owner = vocabulary.split(batch.column(2))
+        parts = flat.to_pylist()
+        at = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        lists = batch.column(3)
+        spans, where = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        span_tag, span_low, span_high = (spans.field(i).to_numpy() for i in range(3))
+        kept, removed = [], []
+        for i, tag in enumerate(batch.column(1).to_pylist()):
+            words = parts[at[i] : at[i + 1]]
+            here = slice(where[i], where[i + 1])
+            mine = span_tag[here] == tag
             gone = np.zeros(len(words) + 1, np.int64)
-            found = batch.column(3)[i]
-            if found.is_valid:
-                v = found.values
-                mine = v.field(0).to_numpy() == tags[i]
-                np.add.at(gone, v.field(1).to_numpy()[mine], 1)
-                np.add.at(gone, v.field(2).to_numpy()[mine], -1)
+            np.add.at(gone, span_low[here][mine], 1)
+            np.add.at(gone, span_high[here][mine], -1)
             stay = np.cumsum(gone)[:-1] == 0
-            kept.append(b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s] if not stay.all() else words)
-                        .decode("utf-8", "surrogatepass"))
-            total.append(len(words))
-            removed.append(int((~stay).sum()))
+            n = int(stay.sum())
+            kept.append(" ".join(words if n == len(words) else [w for w, s in zip(words, stay.tolist(), strict=True) if s]))
+            removed.append(len(words) - n)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+            [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()),
              pa.array(kept, pa.string())],
             names=["doc", "tag", "n_words", "n_removed", "kept"])
 
@@ -295,15 +337,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         spans.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("is_reference").desc())
         .mapInArrow(_match(window), FOUND)
     )
-    rest = found.filter(F.size("hash") > 0).select(
-        "doc", "tag", F.explode(F.arrays_zip("open", "hash")).alias("w")
-    ).select("doc", "tag", F.col("w.open").alias("low"), F.col("w.hash").alias("hash"))
-    earliest = rest.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    later = rest.join(earliest.select("hash", "first"), "hash").filter("first < doc").select(
-        "doc", F.struct("tag", "low", (F.col("low") + window).alias("high")).alias("part"))
-    direct = found.filter(F.size("low") > 0).select("doc", "tag", F.explode(F.arrays_zip("low", "high")).alias("r")).select(
-        "doc", F.struct("tag", F.col("r.low").alias("low"), F.col("r.high").alias("high")).alias("part"))
-    cuts = direct.union(later).groupBy("doc").agg(F.collect_list("part").alias("parts"))
+    # Parts to cut are dealt out under keys of their own beside the open windows, so the
+    # matching is worked once for the totals and once for all that is looked up in them.
+    earliest = (
+        found.filter("hash is not null").groupBy("hash")
+        .agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+        .select(F.col("hash").alias("key"), "first")
+    )
+    dealt = found.withColumn("key", F.coalesce("hash", F.xxhash64("doc", "tag", "low")))
+    cuts = (
+        dealt.join(earliest, "key", "left").filter("hash is null or first < doc")
+        .groupBy("doc").agg(F.collect_list(F.struct("tag", "low", "high")).alias("parts"))
+    )
     done = "doc long, tag long, n_words long, n_removed long, kept string"
     keyed = base.join(cuts, "doc", "left").select("doc", "tag", "body", "parts")
     nameless = rows.filter("doc is null").select(
