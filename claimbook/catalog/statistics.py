@@ -87,6 +87,21 @@ def correlated_pairs(spark, sf_dir):
     return _rounded(correlation.top_pairs(table, 0.5), 8, "r")
 
 
+@query(
+    "correlation_filter_three_columns",
+    "M4",
+    with_views("""
+        WITH c AS (SELECT abs(corr(min_age, max_age)) AS ab, abs(corr(min_age, veh_cnt)) AS ac,
+                          abs(corr(max_age, veh_cnt)) AS bc FROM clean),
+        v AS (SELECT *, (ab + ac) / 2 AS ma, (ab + bc) / 2 AS mb FROM c)
+        SELECT CASE WHEN ma > mb THEN 'min_age' WHEN mb > ma THEN 'max_age' ELSE 'min_age' END AS dropped
+        FROM v WHERE ab > 0.6"""),
+)
+def correlation_filter_three_columns(spark, sf_dir):
+    table = correlation.correlations(_clean(spark, sf_dir), ("min_age", "max_age", "veh_cnt"))
+    return spark.createDataFrame([(c,) for c in correlation.drop_correlated(table, 0.6)], "dropped string")
+
+
 @query("correlation_filter", "M4")
 def correlation_filter(spark, sf_dir):
     """First round: the feature table with claim history."""
@@ -174,6 +189,25 @@ def families_replaced_by_scores(spark, sf_dir):
     return scored
 
 
+@query(
+    "two_families_replaced_by_scores",
+    "M9 M8",
+    with_views("""
+        WITH s AS (SELECT avg(cnt_auto) AS m1, stddev_samp(cnt_auto) AS s1,
+                          avg(veh_cnt) AS m2, stddev_samp(veh_cnt) AS s2,
+                          avg(min_age) AS m3, stddev_samp(min_age) AS s3,
+                          avg(max_age) AS m4, stddev_samp(max_age) AS s4 FROM clean)
+        SELECT clean.* EXCLUDE (cnt_auto, veh_cnt, min_age, max_age),
+               round(((cnt_auto - m1) / s1 + (veh_cnt - m2) / s2) * sqrt(0.5), 6) AS veh_pc1,
+               round(((min_age - m3) / s3 + (max_age - m4) / s4) * sqrt(0.5), 6) AS age_pc1
+        FROM clean, s"""),
+)
+def two_families_replaced_by_scores(spark, sf_dir):
+    families = {"veh_pc": (("cnt_auto", "veh_cnt"), 1), "age_pc": (("min_age", "max_age"), 1)}
+    scored, _ = pca.replace_with_scores(_clean(spark, sf_dir), families)
+    return _rounded(scored, 6, "veh_pc1", "age_pc1")
+
+
 # ------------------------------------------------------------------- models
 
 _LEVELS = ("Minor_Insurer", "Missing")
@@ -371,7 +405,15 @@ def _oof(spark, sf_dir):
     return run.predictions.withColumn("probability", F.round("probability", 6))
 
 
-@query("hashed_folds", "G4")
+def _fold_sql(seed):
+    return f"CAST(CAST('0x' || substr(md5(hhld_id || '|{seed}'), 1, 8) AS BIGINT) % 10 AS INTEGER)"
+
+
+@query(
+    "hashed_folds",
+    "G4",
+    with_views(f"SELECT hhld_id, future_clm_ind, {_fold_sql(7)} AS fold FROM outcomes"),
+)
 def hashed_folds(spark, sf_dir):
     return crossval.assign_folds(
         v.outcomes(spark, sf_dir).select("hhld_id", "future_clm_ind"), "hhld_id", 10, seed=7
@@ -512,6 +554,97 @@ def _full(spark, sf_dir):
     return table, mod.features_of(table)
 
 
+_PENALTY = 0.002
+
+
+@query(
+    "lasso_error_curve_one_indicator",
+    "G13",
+    with_views("""
+        WITH f AS (SELECT CAST(hhld_id % 10 AS INTEGER) AS fold, CAST(inforce_ind AS DOUBLE) AS x,
+                          CAST(future_clm_ind AS DOUBLE) AS y
+                   FROM predictors JOIN outcomes USING (hhld_id)),
+        h AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx,
+                     sum(x * y) AS sxy, sum(y * y) AS syy FROM f GROUP BY fold),
+        a AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM h),
+        top AS (SELECT abs((sxy / n - sx / n * sy / n) / sqrt(sxx / n - sx / n * sx / n)) AS top FROM a),
+        grid AS (SELECT j, top * power(CAST(10 AS DOUBLE), -4.0 * j / 99) AS lam FROM top, range(100) AS r(j)),
+        t AS (SELECT h.*, (a.sx - h.sx) / (a.n - h.n) AS mx, (a.sy - h.sy) / (a.n - h.n) AS my,
+                     (a.sxx - h.sxx) / (a.n - h.n) AS mxx, (a.sxy - h.sxy) / (a.n - h.n) AS mxy FROM h, a),
+        m AS (SELECT *, sqrt(mxx - mx * mx) AS sd, (mxy - mx * my) / sqrt(mxx - mx * mx) AS c FROM t),
+        b AS (SELECT j, lam, m.*, sign(c) * greatest(abs(c) - lam, 0) / sd AS beta FROM m, grid),
+        e AS (SELECT j, lam, n, (syy - 2 * (my - beta * mx) * sy - 2 * beta * sxy
+                       + n * (my - beta * mx) * (my - beta * mx) + 2 * (my - beta * mx) * beta * sx
+                       + beta * beta * sxx) / n AS err FROM b),
+        w AS (SELECT j, lam, sum(n * err) / sum(n) AS cv FROM e GROUP BY j, lam)
+        SELECT round(w.lam, 8) AS "lambda", round(cv, 8) AS cv_error,
+               round(sqrt(sum(n * (err - cv) * (err - cv)) / sum(n) / 9), 8) AS cv_sd,
+               CAST(CASE WHEN w.j = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_nonzero
+        FROM w JOIN e ON w.j = e.j GROUP BY w.j, w.lam, cv"""),
+)
+def lasso_error_curve_one_indicator(spark, sf_dir):
+    table = (
+        v.predictors(spark, sf_dir).select("hhld_id", "inforce_ind")
+        .join(v.outcomes(spark, sf_dir), "hhld_id")
+        .withColumn("fold", (F.col("hhld_id") % 10).cast("int"))
+    )
+    path = lasso.lasso_path(table, "hhld_id", "future_clm_ind", ["inforce_ind"], k=10, fold="fold")
+    return _rounded(path.table(spark), 8, "lambda", "cv_error", "cv_sd")
+
+
+@query(
+    "lasso_one_indicator",
+    "G14",
+    with_views(f"""
+        WITH g AS (SELECT count(*) AS n, avg(CAST(inforce_ind AS DOUBLE)) AS q,
+                     avg(CAST(future_clm_ind AS DOUBLE)) FILTER (inforce_ind = 1) AS r1,
+                     avg(CAST(future_clm_ind AS DOUBLE)) FILTER (inforce_ind = 0) AS r0
+                   FROM predictors JOIN outcomes USING (hhld_id)),
+        p AS (SELECT *, sign(r1 - r0) AS s, {_PENALTY} * sqrt(q * (1 - q)) AS pull FROM g),
+        k AS (SELECT *, r1 - s * pull / q AS p1, r0 + s * pull / (1 - q) AS p0 FROM p)
+        SELECT 'inforce_ind' AS term,
+               CASE WHEN s * (p1 - p0) > 0 THEN round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) ELSE 0 END AS estimate
+        FROM k"""),
+)
+def lasso_one_indicator(spark, sf_dir):
+    """Each group's rate is moved towards the other by the penalty; the slope is their log odds apart."""
+    values = lasso.lasso_coefficients(
+        _labelled(spark, sf_dir), "future_clm_ind", ["inforce_ind"], _PENALTY
+    )
+    return spark.createDataFrame([(t, round(c, 4)) for t, c in values.items()], "term string, estimate double")
+
+
+@query(
+    "model_comparison_one_indicator",
+    "G17 G12",
+    with_views(f"""
+        WITH f AS (SELECT {_fold_sql(0)} AS fold, inforce_ind, future_clm_ind
+                   FROM predictors JOIN outcomes USING (hhld_id)),
+        g AS (SELECT fold, inforce_ind, count(*) AS n, sum(future_clm_ind) AS pos FROM f GROUP BY 1, 2),
+        q AS (SELECT inforce_ind, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(pos) AS DOUBLE) AS pos FROM g GROUP BY 1),
+        l AS (SELECT -2 * sum(pos * ln(pos / n) + (n - pos) * ln(1 - pos / n)) AS deviance FROM q),
+        o AS (SELECT (q.pos - g.pos) / (q.n - g.n) > 0.5 AS yes, g.n, g.pos
+              FROM g JOIN q ON g.inforce_ind = q.inforce_ind),
+        c AS (SELECT CAST(sum(CASE WHEN yes THEN pos ELSE 0 END) AS DOUBLE) AS tp,
+                     CAST(sum(CASE WHEN yes THEN n - pos ELSE 0 END) AS DOUBLE) AS fp,
+                     CAST(sum(CASE WHEN yes THEN 0 ELSE pos END) AS DOUBLE) AS fn,
+                     CAST(sum(CASE WHEN yes THEN 0 ELSE n - pos END) AS DOUBLE) AS tn FROM o),
+        x AS (SELECT *, tp + fp + fn + tn AS n,
+                ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / power(tp + fp + fn + tn, 2) AS e FROM c)
+        SELECT 'in-force flag' AS model, CAST(2 AS INTEGER) AS n_terms, CAST(0 AS INTEGER) AS n_aliased,
+               round(deviance + 4, 4) AS aic, round(deviance, 4) AS deviance,
+               round((tp + tn) / n, 6) AS accuracy, round(((tp + tn) / n - e) / nullif(1 - e, 0), 6) AS kappa,
+               round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, CAST(1 AS DOUBLE) AS max_vif
+        FROM x, l"""),
+)
+def model_comparison_one_indicator(spark, sf_dir):
+    spec = crossval.ModelSpec("in-force flag", _labelled(spark, sf_dir), ["inforce_ind"])
+    table = crossval.compare_models([spec], "hhld_id", "future_clm_ind", k=10)
+    return _rounded(
+        _rounded(table, 4, "aic", "deviance"), 6, "accuracy", "kappa", "balanced_accuracy", "max_vif"
+    )
+
+
 @query("lasso_error_curve", "G13")
 def lasso_error_curve(spark, sf_dir):
     table, names = _full(spark, sf_dir)
