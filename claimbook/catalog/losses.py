@@ -384,3 +384,53 @@ def incurred_ridges_by_year(spark, sf_dir):
     labelled = latest.withColumn("accident_year", F.col("accident_year").cast("string"))
     table = dist.binned_by_category(labelled, "accident_year", "incurred_loss", bins=10)
     return _rounded(table.select("accident_year", "bin", "n_rows", "height"), 6, "height")
+
+
+def _latest_excess(spark, sf_dir, *cols):
+    developed = re.develop(
+        _moved(spark, sf_dir), re.EXCESS_KEYS, *re.EXCESS_LAYER, floor_at_zero=False
+    )
+    return materialize(developed.filter("is_latest = 1").select(*cols))
+
+
+@query(
+    "excess_incurred_distribution_by_period",
+    "K22 H4",
+    with_views("""
+        WITH l AS (SELECT period, incurred_loss AS x FROM flagged_moved WHERE is_latest = 1),
+        r AS (SELECT min(x) AS lo, (max(x) - min(x)) / CAST(10 AS DOUBLE) AS step FROM l),
+        h AS (SELECT period, least(CAST(floor((x - lo) / step) AS BIGINT), 9) AS bin, count(*) AS n
+              FROM l, r GROUP BY ALL),
+        s AS (SELECT period, CAST(range AS BIGINT) AS bin FROM (SELECT DISTINCT period FROM l), range(10))
+        SELECT s.period, s.bin, coalesce(n, 0) AS n_rows
+        FROM s LEFT JOIN h ON h.period = s.period AND h.bin = s.bin"""),
+)
+def excess_incurred_distribution_by_period(spark, sf_dir):
+    latest = _latest_excess(spark, sf_dir, "period", "incurred_loss")
+    table = dist.histogram(latest, "incurred_loss", bins=10, by=["period"])
+    return table.select("period", "bin", "n_rows")
+
+
+@query(
+    "excess_incurred_ridges_by_year",
+    "K22 H5",
+    with_views("""
+        WITH l AS (SELECT CAST(accident_year AS VARCHAR) AS accident_year, incurred_loss AS x
+                   FROM flagged_moved WHERE is_latest = 1 AND incurred_loss BETWEEN 0 AND 500000),
+        r AS (SELECT min(x) AS lo, (max(x) - min(x)) / CAST(10 AS DOUBLE) AS step FROM l),
+        h AS (SELECT accident_year, least(CAST(floor((x - lo) / step) AS BIGINT), 9) AS bin,
+                     count(*) AS n FROM l, r GROUP BY ALL),
+        s AS (SELECT accident_year, CAST(range AS BIGINT) AS bin
+              FROM (SELECT DISTINCT accident_year FROM l), range(10))
+        SELECT s.accident_year, s.bin, coalesce(n, 0) AS n_rows,
+               round(coalesce(n, 0) / CAST((SELECT max(n) FROM h g
+                     WHERE g.accident_year = s.accident_year) AS DOUBLE), 6) AS height
+        FROM s LEFT JOIN h ON h.accident_year = s.accident_year AND h.bin = s.bin"""),
+)
+def excess_incurred_ridges_by_year(spark, sf_dir):
+    latest = _latest_excess(spark, sf_dir, "accident_year", "incurred_loss")
+    labelled = latest.withColumn("accident_year", F.col("accident_year").cast("string"))
+    table = dist.binned_by_category(
+        labelled, "accident_year", "incurred_loss", bins=10, limits=(0.0, 500_000.0)
+    )
+    return _rounded(table.select("accident_year", "bin", "n_rows", "height"), 6, "height")

@@ -59,12 +59,13 @@ def histogram(
     multiples of the width from ``origin`` and only bins that occur are listed.
     ``share`` is ``"all"`` (over all groups) or ``"group"``.
 
-    Two passes: one row with range and total, then the counts.
+    With ``bins`` there are two passes: one row with range and total, then the
+    counts. With ``width`` the counts are all that is needed.
     """
     if share not in (None, "all", "group"):
         raise ValueError("share is None, 'all' or 'group'")
     table, total = _binned(df, col, bins, width, by, limits, origin, fill_empty)
-    whole = {"all": F.lit(total), "group": F.col("n_group")}.get(share)
+    whole = {"all": total, "group": F.col("n_group")}.get(share)
     if whole is not None:
         table = table.withColumn("share", safe_div(F.col("n_rows"), whole))
     return table.drop("n_group", "n_tallest")
@@ -79,7 +80,7 @@ def _binned(
     limits: Limits | None,
     origin: float,
     fill_empty: bool,
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, Column]:
     """Histogram with each group's row count and tallest bin, and the grand total."""
     by = list(by)
     x = F.col(col).cast("double")
@@ -88,14 +89,14 @@ def _binned(
         .select(*by, x.alias("_x"))
         .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     )
-    facts = rows.agg(
-        F.min("_x").alias("low"), F.max("_x").alias("high"), F.count(F.lit(1)).alias("n")
-    ).first()
     if width is not None:
         start, step = float(origin), float(width)
         slot = F.floor((F.col("_x") - F.lit(start)) / F.lit(step))
     else:
         bins = bins or 30
+        facts = rows.agg(
+            F.min("_x").alias("low"), F.max("_x").alias("high"), F.count(F.lit(1)).alias("n")
+        ).first()
         start = facts["low"] if facts["n"] else 0.0
         step = (facts["high"] - facts["low"]) / float(bins) if facts["n"] else 0.0
         slot = F.floor((F.col("_x") - F.lit(start)) / F.lit(step)) if step else F.lit(0)
@@ -105,6 +106,7 @@ def _binned(
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
+    total = F.lit(facts["n"]) if width is None else counts.agg(F.sum("n_rows")).scalar()
     first = F.lit(start)
     edges = {
         "bin_start": first + F.col("bin") * F.lit(step),
@@ -115,11 +117,11 @@ def _binned(
             F.sum("n_rows").alias("n_group"), F.max("n_rows").alias("n_tallest")
         )
         table = join_null_safe(counts, totals, by) if by else counts.withColumns(
-            {"n_group": F.lit(facts["n"]), "n_tallest": F.lit(None).cast("long")}
+            {"n_group": total, "n_tallest": F.lit(None).cast("long")}
         )
         return table.withColumns(edges).select(
             *by, "bin", "bin_start", "bin_end", "n_rows", "n_group", "n_tallest"
-        ), facts["n"]
+        ), total
     # One map of at most ``bins`` counts per group, opened up again with every bin.
     packed = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_cells"),
@@ -134,7 +136,7 @@ def _binned(
     )
     return table.withColumns(edges).select(
         *by, "bin", "bin_start", "bin_end", "n_rows", "n_group", "n_tallest"
-    ), facts["n"]
+    ), total
 
 
 def binned_by_category(
