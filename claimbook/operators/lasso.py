@@ -75,26 +75,41 @@ def _moments(sums: np.ndarray) -> _Moments:
     )
 
 
-def _descend(m: _Moments, lambdas: np.ndarray, tol: float, max_sweeps: int) -> np.ndarray:
-    """Coefficients on the standardised scale for a falling penalty, warm-started."""
-    p = len(m.target)
-    beta, slack = np.zeros(p), m.target.copy()
-    active = np.isfinite(m.x_scale)
-    out = np.zeros((len(lambdas), p))
+def _descend(
+    moments: Sequence[_Moments], lambdas: np.ndarray, tol: float, max_sweeps: int
+) -> np.ndarray:
+    """Standardised coefficients per training set and falling penalty, warm-started.
+
+    All training sets take a step together. After each sweep over all
+    coordinates those in use are settled before the next.
+    """
+    gram = np.stack([m.gram for m in moments])
+    slack = np.stack([m.target for m in moments])
+    active = np.stack([np.isfinite(m.x_scale) for m in moments])
+    sets, p = slack.shape
+    beta, out = np.zeros((sets, p)), np.zeros((sets, len(lambdas), p))
+
+    def sweep(columns, lam: float) -> float:
+        nonlocal slack
+        largest = 0.0
+        for j in columns:
+            pull = slack[:, j] + beta[:, j]
+            fresh = np.where(active[:, j], np.sign(pull) * np.maximum(np.abs(pull) - lam, 0.0), 0.0)
+            move = fresh - beta[:, j]
+            if move.any():
+                slack -= gram[:, :, j] * move[:, None]
+                beta[:, j] = fresh
+                largest = max(largest, float(np.abs(move).max()))
+        return largest
+
     for step, lam in enumerate(lambdas):
         for _ in range(max_sweeps):
-            largest = 0.0
-            for j in np.flatnonzero(active):
-                pull = slack[j] + beta[j]
-                fresh = np.sign(pull) * max(abs(pull) - lam, 0.0)
-                move = fresh - beta[j]
-                if move:
-                    slack -= m.gram[:, j] * move
-                    beta[j] = fresh
-                    largest = max(largest, abs(move))
-            if largest < tol:
+            if sweep(range(p), lam) < tol:
                 break
-        out[step] = beta
+            for _ in range(max_sweeps):
+                if sweep(np.flatnonzero(beta.any(axis=0)), lam) < tol:
+                    break
+        out[:, step] = beta
     return out
 
 
@@ -115,7 +130,7 @@ def lasso_path(
     smallest: float = 1e-4,
     seed: int = 0,
     fold: str | None = None,
-    tol: float = 1e-9,
+    tol: float = 1e-8,
     max_sweeps: int = 10_000,
 ) -> LassoPath:
     """Squared-error cross-validation over a log-spaced penalty grid.
@@ -138,10 +153,12 @@ def lasso_path(
     everything = _moments(total)
     top = float(np.max(np.abs(everything.target)))
     lambdas = top * np.logspace(0.0, np.log10(smallest), n_lambda)
+    held_out = list(blocks.values())
+    training = [_moments(total - block) for block in held_out]
+    paths = _descend([*training, everything], lambdas, tol, max_sweeps)
     errors, sizes = [], []
-    for block in blocks.values():
-        m = _moments(total - block)
-        betas = _descend(m, lambdas, tol, max_sweeps) / m.x_scale
+    for block, m, path in zip(held_out, training, paths):
+        betas = path / m.x_scale
         intercepts = m.y_mean - betas @ m.x_mean
         errors.append([_held_out_error(block, a, b) for a, b in zip(intercepts, betas)])
         sizes.append(block[0, 0])
@@ -150,7 +167,7 @@ def lasso_path(
     variance = np.average((table - mean) ** 2, axis=0, weights=weights)
     sd = np.sqrt(variance / (len(blocks) - 1))
     best = int(np.argmin(mean))
-    final = _descend(everything, lambdas, tol, max_sweeps)
+    final = paths[-1]
     return LassoPath(
         tuple(terms),
         lambdas,
