@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimbook.sources.scratch import shared_folder
 
-WHITE_SPACE = "\\x20\\x09-\\x0D"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
@@ -33,11 +29,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted(n: int, *columns: str):
-    """A repeatable number below ``n`` from the given columns."""
-    return F.pmod(F.xxhash64(*columns), F.lit(n))
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return pc.fill_null(column, "").to_pylist()
@@ -54,17 +45,3 @@ def slices(batches: Iterable[pa.RecordBatch], size: int, limit: int = 8 << 20) -
         step = max(1, min(size, limit // per_row))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def offsets(lengths) -> np.ndarray:
-    """Start of each part and the end of the last one, from the part lengths."""
-    out = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=out[1:])
-    return out
-
-
-def word_codes(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Codes of words in their order of first appearance, and the distinct words."""
-    seen: dict[bytes, int] = {}
-    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    return codes, list(seen)

@@ -308,5 +308,5 @@ def test_many_items_share_one_bit_table(spark):
     items = [(i, " ".join(f"v{rng.randrange(5000)}" for _ in range(20))) for i in range(300)]
     docs = [(i, "lead in " + items[i][1] + " out" if i % 2 else " ".join(f"v{rng.randrange(5000)}" for _ in range(40))) for i in range(60)]
     assert set(_found(spark, docs, items)) == {(i, i) for i in range(1, 60, 2)}
-    assert _found(spark, docs, items[:1]) == {} or True
+    assert _found(spark, docs, items[:1]) == {}
     assert _found(spark, [], items) == {} and _found(spark, docs, [(1, None)]) == {}
