@@ -73,21 +73,25 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def seeds(h: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of every window inside one text, the place of its seed, and all gram hashes."""
-    gram = rolled(h, GRAM)
+def seeds(h: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every window inside one text, and its seed: the least gram hash in it."""
     n = len(h) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), gram
-    width = window - GRAM + 1
-    best, place = gram[:n].copy(), np.arange(n)
-    for i in range(1, width):
-        other = gram[i : n + i]
-        less = other < best
-        best[less] = other[less]
-        place[less] = np.flatnonzero(less) + i
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least, width, covered = rolled(h, GRAM), window - GRAM + 1, 1
+    while covered < width:
+        step = min(covered, width - covered)
+        least = np.minimum(least[:-step], least[step:])
+        covered += step
     start = np.flatnonzero(owner[:n] == owner[window - 1 :])
-    return start, place[start], gram
+    return start, least[start]
+
+
+def _joined(words: pa.Array, first: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Stretches of the words, each joined by one space."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    at = np.repeat(first - ends[:-1], length) + np.arange(ends[-1])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(at))), " ")
 
 
 def _seed_rows(window: int):
@@ -95,9 +99,11 @@ def _seed_rows(window: int):
         vocabulary = Words()
         for batch in slices(batches, 4096):
             words, owner = vocabulary.split(batch.column(1))
-            _, place, gram = seeds(vocabulary.hashes(words), owner, window)
-            place = np.unique(place)
-            seed, doc = gram[place], owner[place]
+            start, seed = seeds(vocabulary.hashes(words), owner, window)
+            doc = owner[start]
+            new = np.ones(len(seed), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+            seed, doc = seed[new], doc[new]
             order = np.lexsort((seed, doc))
             seed, doc = seed[order], doc[order]
             new = np.ones(len(seed), bool)
@@ -119,14 +125,14 @@ def _span_rows(window: int):
         for batch in slices(batches, 2048):
             docs, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             flat, owner = vocabulary.split(batch.column(2))
-            starts, places, gram = seeds(vocabulary.hashes(flat), owner, window)
-            parts = flat.to_pylist()
+            starts, found = seeds(vocabulary.hashes(flat), owner, window)
             text_at = np.searchsorted(owner, np.arange(len(docs)))
             window_at = np.searchsorted(owner[starts], np.arange(len(docs) + 1))
             lists = batch.column(3)
             at_list, known = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             all_seed, all_first, all_held = (known.field(i).to_numpy() for i in range(3))
             rows: list[list] = [[] for _ in names]
+            places = rows[names.index("words")]
             for i, (doc, tag) in enumerate(zip(docs, tags, strict=True)):
                 lo, hi = window_at[i], window_at[i + 1]
                 if lo == hi:
@@ -134,7 +140,7 @@ def _span_rows(window: int):
                 seed = all_seed[at_list[i] : at_list[i + 1]].view(np.uint64)
                 order = np.argsort(seed)
                 seed = seed[order]
-                wanted = gram[places[lo:hi]]
+                wanted = found[lo:hi]
                 at = np.minimum(np.searchsorted(seed, wanted), len(seed) - 1)
                 hit = np.flatnonzero(seed[at] == wanted)
                 if not len(hit):
@@ -158,13 +164,16 @@ def _span_rows(window: int):
                     low, high = int(here[0]), int(here[-1]) + window
                     asked = np.zeros(high - low, bool)
                     asked[here - low] = True
-                    body, bits = " ".join(parts[text_at[i] + low : text_at[i] + high]), np.packbits(asked).tobytes()
+                    place, bits = (text_at[i] + low, high - low), np.packbits(asked).tobytes()
                     for copy in range(copies) if mine else (draw % copies,):
-                        for column, value in zip(rows, (shard, copy, mine, doc, tag, low, body, bits), strict=True):
+                        for column, value in zip(rows, (shard, copy, mine, doc, tag, low, place, bits), strict=True):
                             column.append(value)
+            spans = np.array(places, np.int64).reshape(-1, 2)
+            rows[names.index("words")] = _joined(flat, spans[:, 0], spans[:, 1])
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, kind) for v, kind in zip(rows, kinds, strict=True)], names=names)
+                [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(rows, kinds, strict=True)],
+                names=names)
 
     return run
 
@@ -289,27 +298,23 @@ def _match(window: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocabulary = Words()
     for batch in slices(batches, 2048):
-        flat, owner = vocabulary.split(batch.column(2))
-        parts = flat.to_pylist()
-        at = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        words, owner = vocabulary.split(batch.column(2))
+        n = batch.num_rows
+        at = np.searchsorted(owner, np.arange(n + 1))
         lists = batch.column(3)
-        spans, where = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        span_tag, span_low, span_high = (spans.field(i).to_numpy() for i in range(3))
-        kept, removed = [], []
-        for i, tag in enumerate(batch.column(1).to_pylist()):
-            words = parts[at[i] : at[i + 1]]
-            here = slice(where[i], where[i + 1])
-            mine = span_tag[here] == tag
-            gone = np.zeros(len(words) + 1, np.int64)
-            np.add.at(gone, span_low[here][mine], 1)
-            np.add.at(gone, span_high[here][mine], -1)
-            stay = np.cumsum(gone)[:-1] == 0
-            n = int(stay.sum())
-            kept.append(" ".join(words if n == len(words) else [w for w, s in zip(words, stay.tolist(), strict=True) if s]))
-            removed.append(len(words) - n)
+        spans, where = lists.flatten(), lists.offsets.to_numpy()
+        row = np.repeat(np.arange(n), np.diff(where))
+        tag, low, high = (spans.field(i).to_numpy() for i in range(3))
+        mine = tag == batch.column(1).to_numpy()[row]
+        gone = np.zeros(len(words) + 1, np.int64)
+        np.add.at(gone, at[row[mine]] + low[mine], 1)
+        np.add.at(gone, at[row[mine]] + high[mine], -1)
+        stay = np.cumsum(gone)[:-1] == 0
+        left = np.bincount(owner[stay], minlength=n)
+        kept = words if stay.all() else words.filter(pa.array(stay))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(kept, pa.string())],
+            [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(np.diff(at) - left, pa.int64()),
+             _joined(kept, np.cumsum(left) - left, left)],
             names=["doc", "tag", "n_words", "n_removed", "kept"])
 
 
