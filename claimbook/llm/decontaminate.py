@@ -166,17 +166,80 @@ def _document_windows(widths: list[int], shared):
         vocabulary, known = Vocabulary(), shared.value
         for batch in slices(batches, 1024):
             keys = batch.column(0)
-            token, kind, codes, owner = vocabulary.templates(texts_of(batch.column(1)))
+            texts = texts_of(batch.column(1))
+            row = np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            token, kind, codes, owner = vocabulary.templates(texts)
             for w in widths:
                 at, h = windows(token, kind, owner, w)
                 slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 hit = (known[slot >> 3] >> (slot & 7)) & 1 > 0
                 if hit.any():
-                    yield _rows(vocabulary, keys, at[hit], h[hit], w, token, kind, codes, owner)
+                    out = _rows(vocabulary, keys, at[hit], h[hit], w, token, kind, codes, owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [*out.columns, pa.array(row[owner[at[hit]]])], names=[*out.schema.names, "row"])
 
     return run
 
 
+def _stretch(tokens: list[int], slots: dict[int, tuple[int, str, str]]) -> tuple[int, int, int] | None:
+    """Begin, end and literal tokens of the longest part of a run whose slots are filled consistently.
+
+    A value of the item stands for one value throughout; a name or unit of the document
+    also stands for one of the item, while two numbers may become the same.
+    """
+    maps: dict[tuple, dict[str, int]] = {}
+    clashes = begin = literal = 0
+    best = None
+
+    def count(at: int, by: int) -> int:
+        kind, asked, found = slots[at]
+        change = 0
+        for side, one, other in ((0, asked, found), (1, found, asked)):
+            if side and kind == NUMERAL:
+                continue
+            seen = maps.setdefault((side, kind, one), {})
+            before = len(seen) > 1
+            seen[other] = seen.get(other, 0) + by
+            if not seen[other]:
+                del seen[other]
+            change += (len(seen) > 1) - before
+        return change
+
+    for end, at in enumerate(tokens):
+        if at in slots:
+            clashes += count(at, 1)
+        else:
+            literal += 1
+        while clashes:
+            gone = tokens[begin]
+            if gone in slots:
+                clashes += count(gone, -1)
+            else:
+                literal -= 1
+            begin += 1
+        whole = end + 1 - begin == len(tokens)
+        if (whole or literal >= REQUIRED) and (best is None or end + 1 - begin > best[1] - best[0]):
+            best = begin, end + 1, literal
+    return best
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            slots = {p["at"]: (p["kind"], p["asked"], p["found"]) for p in r["pairs"]}
+            best = _stretch(r["tokens"], slots)
+            if best:
+                held = r["tokens"][best[0] : best[1]]
+                filled = [slots[t] for t in held if t in slots]
+                out.append((r["key"], r["item"], r["shift"], r["words"], len(held), len(filled),
+                            any(asked != found for _, asked, found in filled)))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.bool_())],
+            names=["key", "item", "shift", "n_words", "n_matched", "n_slots", "reworded"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                  item: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """Documents that hold a benchmark item, one row per document and item.
@@ -185,7 +248,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     aligned run, tokens of the item, slots in that run, and whether a slot holds another
     value than in the item. A document is reported if an aligned run matches ``REQUIRED``
     tokens, or 80 % of a shorter item, and no slot value of the item stands for two values
-    of the document or the reverse.
+    of the document, no name or unit of the document for two of the item. A run that breaks
+    this is reported by its longest consistent stretch, if that holds ``REQUIRED`` literal
+    tokens; the counts are those of the stretch.
 
     Tokens are words between white space without the marks around them, in lower case;
     words without letter or digit do not count. A name is a word in title case that does
@@ -194,8 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     of fewer than 8 tokens must match whole. Executors drop windows by a bit table of fixed
     size before the join, which any number of items leaves at 2 MB.
 
-    Null and empty texts on either side match nothing. Rows that share a key count as one
-    document; null keys are not reported. An empty table gives no rows.
+    Null and empty texts on either side match nothing. Rows that share a key are read one
+    by one and reported together; null keys are not reported. An empty table gives no rows.
     """
     spark = docs.sparkSession
     items = written(benchmark.filter(F.col(item).isNotNull()).select(F.col(item).alias("key"), F.col(item_text).alias("text"))
@@ -209,32 +274,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
     found = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         _document_windows(widths, spark.sparkContext.broadcast(table)),
-        "key long, hash long, pos long, slots " + SLOTS)
+        "key long, hash long, pos long, slots " + SLOTS + ", row long")
     right = items.select(
         F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "width", "words")
     matched = found.join(right, "hash").select(
-        "key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "width", "words",
+        "key", "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "width", "words",
         F.arrays_zip("slots", "item_slots").alias("pairs"))
-    run = ["key", "item", "shift"]
+    run = ["key", "row", "item", "shift"]
     cover = matched.groupBy(*run).agg(
         F.max("words").alias("words"),
         F.collect_set(F.struct("item_pos", "width")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     tokens = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["item_pos"], a["item_pos"] + a["width"] - 1))))
-    pair = F.array_distinct(F.transform("pairs", lambda p: F.struct(
-        p["slots"]["kind"].alias("kind"), p["item_slots"]["value"].alias("asked"), p["slots"]["value"].alias("found"))))
-    checked = cover.withColumn("tokens", tokens).withColumn("values", pair).withColumn(
-        "n_matched", F.size("tokens").cast("long"))
-    consistent = (
-        (F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["kind"], v["asked"])))) == F.size("values"))
-        & (F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["kind"], v["found"])))) == F.size("values"))
-    )
-    enough = F.col("n_matched") >= F.when(F.col("words") < WINDOW, F.col("words")).otherwise(
+    pairs = F.transform("pairs", lambda p: F.struct(
+        p["item_slots"]["at"].alias("at"), p["slots"]["kind"].alias("kind"), p["item_slots"]["value"].alias("asked"),
+        p["slots"]["value"].alias("found")))
+    required = F.when(F.col("words") < WINDOW, F.col("words")).otherwise(
         F.least(F.lit(REQUIRED), F.ceil(SHARE * F.col("words"))))
-    rows = checked.filter(consistent & enough).select(
-        "key", "item", "n_matched", F.col("words").alias("n_words"), F.size("pairs").cast("long").alias("n_slots"),
-        F.exists("values", lambda v: v["asked"] != v["found"]).alias("reworded"), "shift")
+    rows = cover.select("key", "item", "shift", "words", F.sort_array(tokens).alias("tokens"), pairs.alias("pairs")).filter(
+        F.size("tokens") >= required).mapInArrow(
+        _judged, "key long, item long, shift long, n_words long, n_matched long, n_slots long, reworded boolean")
     best = Window.partitionBy("key", "item").orderBy(F.col("n_matched").desc(), "reworded", "shift")
     return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(
         F.col("key").alias(key), F.col("item").alias(item), "n_matched", "n_words", "n_slots", "reworded")
