@@ -34,7 +34,8 @@ UNITS = frozenset(
 NUMBER = regex.compile(r"[\p{Sc}+-]?\d[\d.,:/]*%?")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$")
 END = regex.compile(r"[.!?:;]['\")\]]*$")
-LITERAL, NUMERAL, UNIT, NAME = range(4)
+LITERAL, NUMERAL, UNIT, NAME, OPENER = range(5)
+PLACEHOLDERS = np.array([0, 11, 12, 13, 13], np.uint64)
 
 
 class Vocabulary:
@@ -86,7 +87,10 @@ class Vocabulary:
         return codes, line[:-1], np.array(first)
 
     def templates(self, texts: list[str]):
-        """Template hash, kind, word code and owning text of every kept token."""
+        """Template hash, kind, word code and owning text of every kept token.
+
+        A title-case word that opens a sentence or line is an ``OPENER``; its hash is the literal one.
+        """
         codes, line, first = self.codes(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         hashes, kinds = np.array(self.hash, np.uint64), np.array(self.kind, np.int64)
@@ -97,8 +101,8 @@ class Vocabulary:
         opens[1:] |= ends[codes[:-1]]
         opens[0] = True
         kind = kinds[codes]
-        kind = np.where((kind == NAME) & opens, LITERAL, kind)
-        token = np.where(kind == LITERAL, hashes[codes], np.array([0, 11, 12, 13], np.uint64)[kind])
+        kind = np.where((kind == NAME) & opens, OPENER, kind)
+        token = np.where((kind == LITERAL) | (kind == OPENER), hashes[codes], PLACEHOLDERS[kind])
         kept = hashes[codes] != 0
         return token[kept], kind[kept], codes[kept], owner[kept]
 
@@ -121,6 +125,18 @@ def windows(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
 SLOTS = "array<struct<kind:int,at:int,value:string>>"
 
 
+def readings(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
+    """Start, hash and kinds of the windows by each reading: openers as literal words, and as names where there are any."""
+    plain = np.where(kind == OPENER, LITERAL, kind)
+    yield *windows(token, plain, owner, width), plain
+    opener = kind == OPENER
+    if opener.any() and len(token) >= width:
+        at, h = windows(np.where(opener, PLACEHOLDERS[OPENER], token), kind, owner, width)
+        n = np.concatenate([[0], np.cumsum(opener)])
+        some = n[at + width] > n[at]
+        yield at[some], h[some], kind
+
+
 def _rows(vocabulary, keys, at, h, width, token, kind, codes, owner):
     first = np.searchsorted(owner, np.arange(len(keys)))
     value = vocabulary.value
@@ -150,13 +166,13 @@ def _item_windows(width: int):
                 w = min(width, len(token))
                 if not w:
                     continue
-                at, h = windows(token, kind, owner, w)
-                out = _rows(vocabulary, keys.slice(i, 1), at, h, w, token, kind, codes, owner)
-                n = out.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(np.full(n, w)), pa.array(np.full(n, len(token)))],
-                    names=[*out.schema.names, "width", "words"],
-                )
+                for at, h, read in readings(token, kind, owner, w):
+                    out = _rows(vocabulary, keys.slice(i, 1), at, h, w, token, read, codes, owner)
+                    n = out.num_rows
+                    yield pa.RecordBatch.from_arrays(
+                        [*out.columns, pa.array(np.full(n, w)), pa.array(np.full(n, len(token)))],
+                        names=[*out.schema.names, "width", "words"],
+                    )
 
     return run
 
@@ -169,12 +185,11 @@ def _document_windows(widths: list[int], shared):
             texts = texts_of(batch.column(1))
             row = np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
             token, kind, codes, owner = vocabulary.templates(texts)
-            for w in widths:
-                at, h = windows(token, kind, owner, w)
+            for w, (at, h, read) in ((w, found) for w in widths for found in readings(token, kind, owner, w)):
                 slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 hit = (known[slot >> 3] >> (slot & 7)) & 1 > 0
                 if hit.any():
-                    out = _rows(vocabulary, keys, at[hit], h[hit], w, token, kind, codes, owner)
+                    out = _rows(vocabulary, keys, at[hit], h[hit], w, token, read, codes, owner)
                     yield pa.RecordBatch.from_arrays(
                         [*out.columns, pa.array(row[owner[at[hit]]])], names=[*out.schema.names, "row"])
 
@@ -227,7 +242,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            slots = {p["at"]: (p["kind"], p["asked"], p["found"]) for p in r["pairs"]}
+            slots = {p["at"]: (min(p["kind"], NAME), p["asked"], p["found"]) for p in r["pairs"]
+                     if p["kind"] != OPENER or p["asked"] != p["found"]}
             best = _stretch(r["tokens"], slots)
             if best:
                 held = r["tokens"][best[0] : best[1]]
@@ -253,8 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     tokens; the counts are those of the stretch.
 
     Tokens are words between white space without the marks around them, in lower case;
-    words without letter or digit do not count. A name is a word in title case that does
-    not open a sentence or line. Windows have ``width`` tokens (the whole item, if it is
+    words without letter or digit do not count. A name is a word in title case; one that
+    opens a sentence or line is read both as a name and as a literal word. Windows have ``width`` tokens (the whole item, if it is
     shorter) with at least four literal ones, so rows of bare numbers never match; an item
     of fewer than 8 tokens must match whole. Executors drop windows by a bit table of fixed
     size before the join, which any number of items leaves at 2 MB.
@@ -288,7 +304,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     )
     tokens = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["item_pos"], a["item_pos"] + a["width"] - 1))))
     pairs = F.transform("pairs", lambda p: F.struct(
-        p["item_slots"]["at"].alias("at"), p["slots"]["kind"].alias("kind"), p["item_slots"]["value"].alias("asked"),
+        p["item_slots"]["at"].alias("at"), F.greatest(p["slots"]["kind"], p["item_slots"]["kind"]).alias("kind"), p["item_slots"]["value"].alias("asked"),
         p["slots"]["value"].alias("found")))
     required = F.when(F.col("words") < WINDOW, F.col("words")).otherwise(
         F.least(F.lit(REQUIRED), F.ceil(SHARE * F.col("words"))))

@@ -20,3 +20,11 @@ def test_slots_are_judged_by_stretches(spark):
     got = _found(spark, texts, [(1, long), (2, apples), (3, pets)])
     assert set(got) == {(1, 1), (2, 2), (4, 3)}
     assert got[1, 1] == (37, True)
+
+
+def test_names_that_open_sentences_are_slots(spark):
+    item = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?"
+    other = item.replace("Tom", "Anna").replace("3", "4").replace("5", "6")
+    mixed = other.replace("Anna buys", "Clara buys")
+    got = _found(spark, [(1, other), (2, item), (3, "He said that Anna sat. " + other), (4, mixed)], [(1, item)])
+    assert got == {(1, 1): (14, True), (2, 1): (14, False), (3, 1): (14, True)}
