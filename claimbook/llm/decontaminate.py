@@ -35,6 +35,7 @@ NUMBER = regex.compile(r"[\p{Sc}+-]?\d[\d.,:/]*%?")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$")
 END = regex.compile(r"[.!?:;]['\")\]]*$")
 LITERAL, NUMERAL, UNIT, NAME, OPENER = range(5)
+SURFACE = np.uint64(0xA0761D6478BD642F)
 PLACEHOLDERS = np.array([0, 11, 12, 13, 13], np.uint64)
 
 
@@ -87,7 +88,7 @@ class Vocabulary:
         return codes, line[:-1], np.array(first)
 
     def templates(self, texts: list[str]):
-        """Template hash, kind, word code and owning text of every kept token.
+        """Template hash, kind, word code, owning text and surface hash of every kept token.
 
         A title-case word that opens a sentence or line is an ``OPENER``; its hash is the literal one.
         """
@@ -96,7 +97,7 @@ class Vocabulary:
         hashes, kinds = np.array(self.hash, np.uint64), np.array(self.kind, np.int64)
         ends = np.array(self.ends, bool)
         if not len(codes):
-            return np.zeros(0, np.uint64), codes, codes, owner
+            return np.zeros(0, np.uint64), codes, codes, owner, np.zeros(0, np.uint64)
         opens = line.copy()
         opens[1:] |= ends[codes[:-1]]
         opens[0] = True
@@ -104,11 +105,11 @@ class Vocabulary:
         kind = np.where((kind == NAME) & opens, OPENER, kind)
         token = np.where((kind == LITERAL) | (kind == OPENER), hashes[codes], PLACEHOLDERS[kind])
         kept = hashes[codes] != 0
-        return token[kept], kind[kept], codes[kept], owner[kept]
+        return token[kept], kind[kept], codes[kept], owner[kept], hashes[codes[kept]]
 
 
-def windows(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
-    """Start and hash of every window inside one text that holds enough literal words."""
+def windows(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int, least: int = LITERALS):
+    """Start and hash of every window inside one text that holds ``least`` literal words, or no other if it is shorter."""
     n = len(token) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -117,7 +118,7 @@ def windows(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
         h = (h ^ token[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    good = (owner[:n] == owner[width - 1 :]) & (literal[width:] - literal[:n] >= min(LITERALS, width))
+    good = (owner[:n] == owner[width - 1 :]) & (literal[width:] - literal[:n] >= min(least, width))
     at = np.flatnonzero(good)
     return at, h[at]
 
@@ -125,8 +126,13 @@ def windows(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
 SLOTS = "array<struct<kind:int,at:int,value:string>>"
 
 
-def readings(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int):
-    """Start, hash and kinds of the windows by each reading: openers as literal words, and as names where there are any."""
+def readings(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, surface: np.ndarray, width: int, every: bool):
+    """Start, hash and kinds of the windows by each reading.
+
+    Openers are read as literal words, and as names where there are any. Windows of too few
+    literal words for a template, or ``every`` one, are also read word by word with all
+    values, unless they are bare numbers.
+    """
     plain = np.where(kind == OPENER, LITERAL, kind)
     yield *windows(token, plain, owner, width), plain
     opener = kind == OPENER
@@ -135,6 +141,13 @@ def readings(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, width: int)
         n = np.concatenate([[0], np.cumsum(opener)])
         some = n[at + width] > n[at]
         yield at[some], h[some], kind
+    if len(token) >= width:
+        at, h = windows(surface ^ SURFACE, np.where(kind == NUMERAL, NUMERAL, LITERAL), owner, width, 1)
+        if not every:
+            n = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+            few = n[at + width] - n[at] < min(LITERALS, width)
+            at, h = at[few], h[few]
+        yield at, h, kind
 
 
 def _rows(vocabulary, keys, at, h, width, token, kind, codes, owner):
@@ -162,11 +175,11 @@ def _item_windows(width: int):
         for batch in slices(batches, 512):
             keys, texts = batch.column(0), texts_of(batch.column(1))
             for i, text in enumerate(texts):
-                token, kind, codes, owner = vocabulary.templates([text])
+                token, kind, codes, owner, surface = vocabulary.templates([text])
                 w = min(width, len(token))
                 if not w:
                     continue
-                for at, h, read in readings(token, kind, owner, w):
+                for at, h, read in readings(token, kind, owner, surface, w, True):
                     out = _rows(vocabulary, keys.slice(i, 1), at, h, w, token, read, codes, owner)
                     n = out.num_rows
                     yield pa.RecordBatch.from_arrays(
@@ -184,8 +197,8 @@ def _document_windows(widths: list[int], shared):
             keys = batch.column(0)
             texts = texts_of(batch.column(1))
             row = np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-            token, kind, codes, owner = vocabulary.templates(texts)
-            for w, (at, h, read) in ((w, found) for w in widths for found in readings(token, kind, owner, w)):
+            token, kind, codes, owner, surface = vocabulary.templates(texts)
+            for w, (at, h, read) in ((w, found) for w in widths for found in readings(token, kind, owner, surface, w, False)):
                 slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 hit = (known[slot >> 3] >> (slot & 7)) & 1 > 0
                 if hit.any():
@@ -271,8 +284,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     Tokens are words between white space without the marks around them, in lower case;
     words without letter or digit do not count. A name is a word in title case; one that
     opens a sentence or line is read both as a name and as a literal word. Windows have ``width`` tokens (the whole item, if it is
-    shorter) with at least four literal ones, so rows of bare numbers never match; an item
-    of fewer than 8 tokens must match whole. Executors drop windows by a bit table of fixed
+    shorter) with at least four literal ones; those with fewer match with the same values
+    only, and rows of bare numbers never. An item of fewer than 8 tokens must match whole. Executors drop windows by a bit table of fixed
     size before the join, which any number of items leaves at 2 MB.
 
     Null and empty texts on either side match nothing. Rows that share a key are read one

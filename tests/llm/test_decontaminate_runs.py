@@ -28,3 +28,13 @@ def test_names_that_open_sentences_are_slots(spark):
     mixed = other.replace("Anna buys", "Clara buys")
     got = _found(spark, [(1, other), (2, item), (3, "He said that Anna sat. " + other), (4, mixed)], [(1, item)])
     assert got == {(1, 1): (14, True), (2, 1): (14, False), (3, 1): (14, True)}
+
+
+def test_verbatim_copies_are_found_with_few_literal_words(spark):
+    items = [(1, "John has 5 apples"), (2, "What is 12 + 7?"), (3, "5 kg 7 m 9 hours 11 Anna 3 Boris 8 days 2 miles 6 Clara 10 David"),
+             (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14")]
+    texts = [(i, f"we read that here: {t} and no more of it") for i, t in items] + [
+        (11, "so it is said John has 6 apples now"), (12, "what is 12 + 7?")]
+    got = _found(spark, texts, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (12, 2)}
+    assert not any(reworded for _, reworded in got.values())
