@@ -147,7 +147,7 @@ def readings(token: np.ndarray, kind: np.ndarray, owner: np.ndarray, surface: np
             n = np.concatenate([[0], np.cumsum(kind == LITERAL)])
             few = n[at + width] - n[at] < min(LITERALS, width)
             at, h = at[few], h[few]
-        yield at, h, kind
+        yield at, h, np.where((kind == NUMERAL) | (kind == UNIT), kind, LITERAL)  # whatever the case of the letters
 
 
 def _rows(vocabulary, keys, at, h, width, token, kind, codes, owner):
