@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimbook.llm import alignment, decontaminate, language, licences, lm, merkle, pieces, shards, simhash, substrings, tokens, topk
+from claimbook.llm import alignment, decontaminate, language, licences, lm, merkle, pieces, secretscan, shards, simhash, substrings, tokens, topk
 from claimbook.llm.tables import table
 
 
@@ -86,6 +86,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by rules and by a network learned from the rules' findings."""
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers line up in every document, and how usual its links are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,6 +115,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op8_simhash": (op8_simhash, None),
         "op9_language": (op9_language, None),
         "op10_decontamination": (op10_decontamination, None),
+        "op11_secrets": (op11_secrets, None),
         "op12_alignment": (op12_alignment, None),
         "op13_manifest": (op13_manifest, merkle.SQL),
     }
