@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ DOCUMENTS = 8_192
 FAN_IN = 64
 RUNS_A_TASK = 32
 CHUNK = 1 << 20
-# characters of remembered units, each with 40 more
-MEMO = 20_000_000
+# characters of a generation of remembered units, each with 40 more
+MEMO = 16_000_000
 BLOCK = 8_192
 DOC_BITS = 20
 
@@ -76,7 +77,7 @@ class Pair:
         first.no_padding()
         first.encode_special_tokens = True
         second = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        self.first, self.second, self.memo, self.known, self.held = first, second, memo, {}, 0
+        self.first, self.second, self.memo, self.older, self.recent, self.held = first, second, memo, {}, {}, 0
         self.n_first, self.n_second = first.get_vocab_size(with_added_tokens=True), second.get_piece_size()
         if self.n_first * self.n_second >> (63 - DOC_BITS):
             raise ValueError("the vocabularies leave no room for a document number")
@@ -89,43 +90,64 @@ class Pair:
         self.bytes_second = [
             bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)]
-
-    def _align(self, unit: str, first: Sequence[int], second: Sequence[int]) -> tuple | None:
-        """Token numbers, groups and linked pairs of a unit; None if either side loses bytes."""
-        parts_a = [self.bytes_first[t] for t in first]
-        parts_b = [self.bytes_second[t] for t in second]
-        whole = unit.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        groups, links, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(first):
-            end_a += len(parts_a[i])
-            i += 1
-            while j < len(second) and end_b < end_a:
-                end_b += len(parts_b[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, first[from_a:i]))}|{','.join(map(str, second[from_b:j]))}")
-                links.append(second[j - 1] * self.n_first + first[i - 1])
-                from_a, from_b = i, j
-        return len(first), len(second), ";".join(groups), links
-
-    def learn(self, units: list[str]) -> None:
-        """Align the units that are not remembered."""
-        known = self.known
-        new = list({u for u in units if u not in known})
-        self.held += sum(map(len, new)) + 40 * len(new)
-        if self.held > self.memo:
-            known.clear()
-            new = list(set(units))
-            self.held = sum(map(len, new)) + 40 * len(new)
+        self.width_first = np.array([len(x) for x in self.bytes_first])
+        self.width_second = np.array([len(x) for x in self.bytes_second])
+        self.shown = [f"{i}{mark}" for i in range(max(self.n_first, self.n_second)) for mark in (",", "|", ";", "\n")]
+
+    def _align(self, units: list[str], first: list[list[int]], second: list[list[int]]) -> list[tuple | None]:
+        """Token numbers, groups and linked pairs of units; None where a side loses bytes.
+
+        The sides of all units stand in one row each; a byte offset at which both have an end
+        is the end of a group, and of a unit if it is the unit's last.
+        """
+        whole = [
+            u.encode() == b"".join([self.bytes_first[t] for t in a]) == b"".join([self.bytes_second[t] for t in b])
+            for u, a, b in zip(units, first, second, strict=True)]
+        first = [a for a, ok in zip(first, whole, strict=True) if ok]
+        second = [b for b, ok in zip(second, whole, strict=True) if ok]
+        n_a, n_b = [len(a) for a in first], [len(b) for b in second]
+        a, b = np.array(list(chain(*first)), np.int64), np.array(list(chain(*second)), np.int64)
+        ends_a, ends_b = np.cumsum(self.width_first[a]), np.cumsum(self.width_second[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        links = (b[last_b] * self.n_first + a[last_a]).tobytes()
+        unit_end = np.cumsum(n_a) - 1
+        closing = np.searchsorted(last_a, unit_end)
+        # A's tokens of a group, then B's; the mark after a token tells what ends with it
+        group = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        marks_a[last_a], marks_b[last_b] = 1, 2
+        marks_b[last_b[closing]] = 3
+        ids, marks = np.concatenate([a, b]), np.concatenate([marks_a, marks_b])
+        order = np.argsort(group, kind="stable")
+        shown = "".join(map(self.shown.__getitem__, (4 * ids + marks)[order].tolist())).split("\n")
+        stops = (8 * (closing + 1)).tolist()
+        aligned = zip(n_a, n_b, shown, [0, *stops], stops, strict=False)
+        found = iter([(x, y, text, links[lo:hi]) for x, y, text, lo, hi in aligned])
+        return [next(found) if ok else None for ok in whole]
+
+    def learn(self, units: list[str]) -> dict[str, tuple | None]:
+        """The alignment of every distinct unit; those seen lately are not encoded again."""
+        out, new = {}, []
+        for unit in set(units):
+            if unit in self.recent:
+                out[unit] = self.recent[unit]
+            elif unit in self.older:
+                out[unit] = self.recent[unit] = self.older[unit]
+            else:
+                new.append(unit)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             first = self.first.encode_batch_fast(part, add_special_tokens=False)
             # the model adds the space that every unit begins with
             second = self.second.encode([u[1:] for u in part], num_threads=1)
-            for unit, a, b in zip(part, first, second, strict=True):
-                known[unit] = self._align(unit, a.ids, b)
+            known = dict(zip(part, self._align(part, [e.ids for e in first], second), strict=True))
+            out |= known
+            self.recent |= known
+            self.held += sum(map(len, part)) + 40 * len(part)
+        if self.held > self.memo:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        return out
 
 
 def units_of(text: str) -> list[str]:
@@ -165,16 +187,17 @@ class _Document:
         if not self.whole or None in aligned:
             self.whole, self.keys, self.times = False, [], []
             return
-        links = [k for a in aligned for k in a[3]]
-        self.n_a += sum(a[0] for a in aligned)
-        self.n_b += sum(a[1] for a in aligned)
+        n_a, n_b, shown, links = zip(*aligned, strict=True)
+        links = np.frombuffer(b"".join(links), np.int64)
+        self.n_a += sum(n_a)
+        self.n_b += sum(n_b)
         self.n_groups += len(links)
-        text = ";".join([a[2] for a in aligned])
+        text = ";".join(shown)
         if self.digest is None:
             self.digest = sha256(text.encode())
         else:
             self.digest.update(b";" + text.encode())
-        key, n = np.unique(np.array(links, np.int64), return_counts=True)
+        key, n = np.unique(links, return_counts=True)
         self.keys.append(key)
         self.times.append(n)
 
@@ -298,9 +321,9 @@ def _encoded(texts: list[str], pair: Pair) -> list[_Document]:
     weight = 0
 
     def settle() -> None:
-        pair.learn([u for _, units in jobs for u in units])
+        known = pair.learn([u for _, units in jobs for u in units])
         for at, units in jobs:
-            states[at].add([pair.known[u] for u in units])
+            states[at].add([known[u] for u in units])
         jobs.clear()
 
     for at, text in enumerate(texts):
