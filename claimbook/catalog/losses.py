@@ -9,7 +9,7 @@ from claimbook.catalog.registry import query
 from claimbook.catalog.views import VALUATION_YEAR, with_views
 from claimbook.operators import distributions as dist
 from claimbook.plans import reinsurance as re
-from claimbook.sources.scratch import materialize
+from claimbook.sources.scratch import materialize, shared_folder
 
 
 def _primary(spark, sf_dir):
@@ -205,6 +205,59 @@ def latest_diagonal_by_coverage(spark, sf_dir):
     return _money(table)
 
 
+def _parted_runs(spark, sf_dir):
+    """The primary run as three that arrive one after another; claims, and dates of a claim, overlap."""
+    rows = _primary(spark, sf_dir)
+    part = F.pmod(F.crc32(F.col("feature_identifier").cast("binary")), F.lit(3))
+    return [rows.filter(part == i) for i in range(3)]
+
+
+def _stored(spark, sf_dir, count_rule="rows"):
+    store = re.diagonal_store(spark, shared_folder(spark), count_rule=count_rule)
+    for i, run in enumerate(_parted_runs(spark, sf_dir)):
+        store.add(f"run {i}", run)
+    store.forget_old()
+    return store
+
+
+_STORED_SQL = """
+        SELECT claim_number, claimant_name, coverage, CAST(loss_date AS VARCHAR) AS loss_date, period,
+               CAST(max(evaluation_date) AS VARCHAR) AS evaluation_date,
+               round(sum(incurred_loss), 3) AS incurred, round(sum(ceded_loss), 3) AS ceded, count(*) AS claims
+        FROM flagged_primary WHERE {} = 1 GROUP BY 1, 2, 3, 4, 5"""
+
+
+def _shown_totals(table):
+    return table.withColumns({
+        "loss_date": F.col("loss_date").cast("string"), "evaluation_date": F.col("evaluation_date").cast("string"),
+        "incurred": F.round("incurred", 3), "ceded": F.round("ceded", 3)})
+
+
+@query("stored_latest_totals", "W3 K12", with_views(_STORED_SQL.format("is_latest")))
+def stored_latest_totals(spark, sf_dir):
+    """Latest totals per claim from a state that three runs were merged into."""
+    return _shown_totals(_stored(spark, sf_dir).totals("latest"))
+
+
+@query("stored_first_totals", "W4 K8", with_views(_STORED_SQL.format("is_first")))
+def stored_first_totals(spark, sf_dir):
+    return _shown_totals(_stored(spark, sf_dir).totals("first"))
+
+
+@query(
+    "stored_latest_diagonal",
+    "K13 K12",
+    with_views("""
+        SELECT accident_year, coverage, maturity_bucket, round(sum(incurred_loss), 3) AS total_incurred,
+               round(sum(ceded_loss), 3) AS total_ceded, CAST(sum(is_ceded) AS BIGINT) AS claim_count
+        FROM flagged_primary WHERE is_latest = 1 GROUP BY 1, 2, 3"""),
+)
+def stored_latest_diagonal(spark, sf_dir):
+    """The diagonal of three runs, from their merged state."""
+    totals = _stored(spark, sf_dir, "ceded").totals()
+    return _money(re.diagonal_table(totals, ["accident_year", "coverage", "maturity_bucket"]))
+
+
 _PRIMARY_DIAGONAL = """
         SELECT 'Data1 - $1M Lim' AS data_source, accident_year, maturity_bucket,
                sum(incurred_loss) AS total_incurred, sum(ceded_loss) AS total_ceded,

@@ -420,6 +420,56 @@ def hashed_folds(spark, sf_dir):
     )
 
 
+# Folds dealt round-robin within each class, in the order of the keys' digests.
+_DEALT = """
+    dealt AS (SELECT hhld_id, future_clm_ind, CAST((row_number() OVER (
+                PARTITION BY future_clm_ind ORDER BY md5(hhld_id || '|7'), hhld_id) - 1) % 10 AS INTEGER) AS fold
+              FROM outcomes)"""
+
+
+def _dealt(spark, sf_dir):
+    rows = v.outcomes(spark, sf_dir).select("hhld_id", "future_clm_ind")
+    return crossval.stratified_folds(rows, "hhld_id", "future_clm_ind", 10, seed=7)
+
+
+@query("stratified_folds", "G4", with_views(f"WITH {_DEALT.strip()} SELECT * FROM dealt"))
+def stratified_folds(spark, sf_dir):
+    return _dealt(spark, sf_dir)
+
+
+@query(
+    "stratified_fold_balance",
+    "G4",
+    with_views(f"""WITH {_DEALT.strip()}
+        SELECT future_clm_ind, fold, count(*) AS n_rows,
+               round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY fold) AS DOUBLE), 8) AS share
+        FROM dealt GROUP BY 1, 2"""),
+)
+def stratified_fold_balance(spark, sf_dir):
+    return _rounded(crossval.fold_balance(_dealt(spark, sf_dir), "future_clm_ind"), 8, "share")
+
+
+@query(
+    "stratified_out_of_fold",
+    "G5 G4",
+    with_views(f"""WITH {_DEALT.strip()},
+        f AS (SELECT d.*, inforce_ind FROM dealt d JOIN predictors USING (hhld_id)),
+        g AS (SELECT fold, inforce_ind, count(*) AS n, sum(future_clm_ind) AS pos FROM f GROUP BY 1, 2),
+        q AS (SELECT inforce_ind, sum(n) AS n, sum(pos) AS pos FROM g GROUP BY 1)
+        SELECT f.hhld_id, f.fold, CASE WHEN f.future_clm_ind = 1 THEN 'Yes' ELSE 'No' END AS obs,
+               round((q.pos - g.pos) / CAST(q.n - g.n AS DOUBLE), 6) AS probability
+        FROM f JOIN g ON f.fold = g.fold AND f.inforce_ind = g.inforce_ind
+        JOIN q ON f.inforce_ind = q.inforce_ind"""),
+)
+def stratified_out_of_fold(spark, sf_dir):
+    """Out-of-fold probabilities of a one-indicator model over folds dealt within each class."""
+    table = v.predictors(spark, sf_dir).select("hhld_id", "inforce_ind").join(v.outcomes(spark, sf_dir), "hhld_id")
+    run = crossval.cross_validate(
+        table, "hhld_id", "future_clm_ind", ["inforce_ind"], k=10, seed=7, stratified=True
+    )
+    return _rounded(run.predictions, 6, "probability")
+
+
 @query(
     "out_of_fold_predictions",
     "G5",

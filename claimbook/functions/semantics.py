@@ -111,3 +111,10 @@ def descending(*columns: ColumnLike) -> list[Column]:
 def quoted(name: str) -> str:
     """Back-ticked column name, safe for names holding blanks or dots."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(base: str, taken) -> str:
+    """``base``, with underscores added until no column has that name."""
+    while base in taken:
+        base += "_"
+    return base

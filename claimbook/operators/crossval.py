@@ -11,7 +11,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimbook.functions.semantics import quoted, safe_div
+from claimbook.functions.semantics import free_name, quoted, safe_div
 from claimbook.operators.distributions import histogram
 from claimbook.operators.glm import (
     GlmModel,
@@ -24,6 +24,7 @@ from claimbook.operators.glm import (
     importance,
     vif,
 )
+from claimbook.operators.ranks import hashed_rank
 
 YES, NO = "Yes", "No"
 
@@ -42,6 +43,40 @@ def assign_folds(
     return df.withColumn(name, fold_of([key] if isinstance(key, str) else key, k, seed))
 
 
+def stratified_folds(
+    df: DataFrame, key: str | Sequence[str], label: str, k: int = 10, seed: int = 0, name: str = "fold"
+) -> DataFrame:
+    """Add a fold number so that each class is spread over the folds as evenly as it can be.
+
+    Rows of a class are dealt round-robin in a seeded random order, so the folds' counts of any
+    class differ by one at most. A missing label is a class; no class is ever in one task.
+    """
+    names = [key] if isinstance(key, str) else list(key)
+    rank = free_name("_rank", df.columns)
+    ranked = hashed_rank(df, [label], names, seed, rank)
+    return ranked.withColumn(name, F.pmod(rank, F.lit(k)).cast("int")).drop(rank)
+
+
+def with_folds(
+    df: DataFrame, key: str, label: str, k: int, seed: int, fold: str | None, stratified: bool
+) -> DataFrame:
+    """Add ``_fold``: an existing column, or folds dealt by class, or hashed ones."""
+    if fold:
+        return df.withColumn("_fold", F.col(quoted(fold)))
+    if stratified:
+        return stratified_folds(df, key, label, k, seed, "_fold")
+    return assign_folds(df, key, k, seed, "_fold")
+
+
+def fold_balance(folded: DataFrame, label: str, fold: str = "fold") -> DataFrame:
+    """Rows per class and fold, and the class's share of the fold."""
+    counts = folded.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = folded.groupBy(fold).agg(F.count(F.lit(1)).alias("n_fold"))
+    return counts.join(sizes, fold).select(
+        label, fold, "n_rows", safe_div("n_rows", "n_fold").alias("share")
+    )
+
+
 @dataclass(frozen=True)
 class CrossValidated:
     """Out-of-fold predictions and the model fitted on all rows."""
@@ -61,16 +96,18 @@ def cross_validate(
     seed: int = 0,
     fold: str | None = None,
     parallelism: int = 4,
+    stratified: bool = False,
 ) -> CrossValidated:
     """k-fold fits with all out-of-fold probabilities, plus one fit on all rows.
 
     The design is read once and kept for all fits; independent fits run as
     concurrent jobs. The k models are scored in a single pass: each row takes
     the expression of the model that did not see its fold. ``fold`` names an
-    existing fold column.
+    existing fold column; without one, folds are hashed, or dealt within each class
+    if ``stratified``.
     """
     design = build_design(df, label, features, categorical)
-    folded = df.withColumn("_fold", F.col(fold) if fold else fold_of([key], k, seed))
+    folded = with_folds(df, key, label, k, seed, fold, stratified)
     rows = design_rows(folded, design, [F.col(quoted(key)).alias("_key"), "_fold"])
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -195,9 +232,10 @@ def evaluate_glm(
     k: int = 10,
     seed: int = 0,
     threshold: float = 0.5,
+    stratified: bool = False,
 ) -> dict[str, DataFrame]:
     """The whole report of one model as named tables."""
-    run = cross_validate(df, key, label, features, categorical, k, seed)
+    run = cross_validate(df, key, label, features, categorical, k, seed, stratified=stratified)
     spark, oof = df.sparkSession, run.predictions
     return {
         "coefficients": glm_table(spark, run.model),
@@ -223,12 +261,14 @@ class ModelSpec:
 
 
 def compare_models(
-    specs: Sequence[ModelSpec], key: str, label: str, k: int = 10, seed: int = 0
+    specs: Sequence[ModelSpec], key: str, label: str, k: int = 10, seed: int = 0, stratified: bool = False
 ) -> DataFrame:
     """One row per model: terms, AIC, deviance, accuracy, kappa, largest VIF."""
     rows = []
     for spec in specs:
-        run = cross_validate(spec.table, key, label, spec.features, spec.categorical, k, seed)
+        run = cross_validate(
+            spec.table, key, label, spec.features, spec.categorical, k, seed, stratified=stratified
+        )
         facts = fit_statistics(spec.table, run.model).first()
         score = confusion_statistics(run.predictions).first()
         factors = vif(spec.table, run.model).agg(F.max("vif")).first()

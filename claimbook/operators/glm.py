@@ -21,6 +21,8 @@ from claimbook.functions.semantics import quoted
 from claimbook.operators.gram import column_means, cross_products, independent_columns
 
 INTERCEPT = "(Intercept)"
+# Log odds at which a fitted probability is 0 or 1 to about 13 digits.
+EDGE = 30.0
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,7 @@ class GlmModel:
     n_rows: int
     n_iterations: int
     fitted: GeneralizedLinearRegressionModel | None = field(repr=False)
+    converged: bool = True
 
     def linear(self) -> Column:
         """Linear predictor as a plain column expression."""
@@ -106,6 +109,8 @@ def design_rows(df: DataFrame, design: Design, keep: Sequence[str] = ()) -> Data
 
 def _independent(rows: DataFrame, n_terms: int) -> list[int]:
     """Positions of terms that are not combinations of the intercept and earlier terms."""
+    if n_terms == 0:
+        return []
     columns = [F.col(f"_t{i}") for i in range(n_terms)]
     means = column_means(rows, columns)
     gram = cross_products(rows, [c - F.lit(m) for c, m in zip(columns, means)]).get(0)
@@ -115,15 +120,23 @@ def _independent(rows: DataFrame, n_terms: int) -> list[int]:
 
 
 def _intercept_only(rows: DataFrame, design: Design, aliased: tuple[str, ...]) -> GlmModel:
-    """A model without terms: the log odds of the rate, in closed form."""
+    """A model without terms: the log odds of the rate, in closed form.
+
+    A label of one value only has no finite log odds; they end at ``EDGE``, where the fitted
+    probability is that value to all digits, and the model has not converged.
+    """
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate")).first()
+    if not facts["n"]:
+        raise ValueError("no complete rows to fit on")
     n, rate = int(facts["n"]), float(facts["rate"])
-    estimate = math.log(rate / (1.0 - rate))
-    error = 1.0 / math.sqrt(n * rate * (1.0 - rate))
+    inner = 0.0 < rate < 1.0
+    estimate = math.log(rate / (1.0 - rate)) if inner else math.copysign(EDGE, rate - 0.5)
+    p = 1.0 / (1.0 + math.exp(-abs(estimate)))
+    error = 1.0 / math.sqrt(n * p * (1.0 - p))
     z = estimate / error
     return GlmModel(
         design, (), aliased, {INTERCEPT: estimate}, {INTERCEPT: error}, {INTERCEPT: z},
-        {INTERCEPT: math.erfc(abs(z) / math.sqrt(2.0))}, n, 0, None,
+        {INTERCEPT: math.erfc(abs(z) / math.sqrt(2.0))}, n, 0, None, inner,
     )
 
 
@@ -162,6 +175,7 @@ def fit_rows(
         int(summary.numInstances),
         int(summary.numIterations),
         fitted,
+        int(summary.numIterations) < max_iter,
     )
 
 

@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimbook.functions.semantics import quoted
+from claimbook.functions.semantics import free_name, quoted
 
-# A group is hot when it holds more than 1 / HOT_PARTS of all rows, so fewer than
-# HOT_PARTS groups are hot, however large the data is.
+# The largest groups, this many less one, are attached where their rows are. Every other group
+# has at most 1 / HOT_PARTS of all rows, however large the data is.
 HOT_PARTS = 64
 
 
@@ -32,30 +32,42 @@ def join_null_safe(
 def join_group_values(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str
 ) -> DataFrame:
-    """Attach one row per group back to the rows of that group.
+    """Attach one row per group back to the rows of that group, in one read of the rows.
 
     ``groups`` holds the keys, the group's row count in ``size`` and the values
-    to attach; rows of no group get nulls. Hot groups (``HOT_PARTS``) are fewer
-    than a fixed number, so they are broadcast and their rows stay where they
-    are. All other rows join by key, where no key has more than its share. A
-    missing key matches a missing key.
+    to attach; rows of no group get nulls. The largest groups, fewer than
+    ``HOT_PARTS``, are broadcast. A row that finds its group among them takes the
+    values and draws a salt from its own content, so the join of all other rows
+    by key, in which it finds nothing more, moves it to any task. A missing key
+    matches a missing key.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("join_group_values needs at least one key")
     values = [c for c in groups.columns if c not in keys and c != size]
-    total = groups.agg(F.sum(size)).scalar()
-    is_hot = F.col(size) * F.lit(HOT_PARTS) > total
-    attached = groups.withColumnsRenamed({k: "_g_" + k for k in keys} | {v: "_v_" + v for v in values})
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col("_g_" + k)) for k in keys])
-    hot = F.broadcast(attached.filter(is_hot))
-    columns = [
-        *[F.col(f"`{c}`") for c in rows.columns],
-        *[F.col("_v_" + v).alias(v) for v in values],
-    ]
-    spread = rows.join(hot, match).select(*columns)
-    rest = rows.join(hot, match, "left_anti").join(attached.filter(~is_hot), match, "left")
-    return spread.unionAll(rest.select(*columns))
+    drawn = free_name("_salt", rows.columns)
+
+    def named(prefix: str) -> DataFrame:
+        return groups.withColumnsRenamed({c: prefix + c for c in (*keys, *values, size)})
+
+    def match(prefix: str) -> Column:
+        return reduce(and_, [F.col(quoted(k)).eqNullSafe(F.col(quoted(prefix + k))) for k in keys])
+
+    largest = named("_h_").orderBy(F.desc("_h_" + size), *["_h_" + k for k in keys]).limit(HOT_PARTS - 1)
+    found = F.col("_h_" + size).isNotNull()
+    content = [F.col(quoted(c)) for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    salt = F.when(found, 1 + F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(1 << 20))).otherwise(0)
+    # A group's salt is zero for any count; written so that it stays a column to join on.
+    others = named("_g_").withColumn("_g__salt", F.when(F.col("_g_" + size) < 0, 1).otherwise(0).cast("bigint"))
+    joined = (
+        rows.join(F.broadcast(largest), match("_h_"), "left")
+        .withColumn(drawn, salt.cast("bigint"))
+        .join(others, match("_g_") & (F.col(drawn) == F.col("_g__salt")), "left")
+    )
+    return joined.select(
+        *[F.col(quoted(c)) for c in rows.columns],
+        *[F.when(found, F.col(quoted("_h_" + v))).otherwise(F.col(quoted("_g_" + v))).alias(v) for v in values],
+    )
 
 
 def join_lookup(

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimbook.operators.crossval import fold_of
+from claimbook.operators.crossval import with_folds
 from claimbook.operators.glm import build_design, design_rows
 from claimbook.operators.gram import column_means, cross_products
 
@@ -132,6 +132,7 @@ def lasso_path(
     fold: str | None = None,
     tol: float = 1e-8,
     max_sweeps: int = 10_000,
+    stratified: bool = False,
 ) -> LassoPath:
     """Squared-error cross-validation over a log-spaced penalty grid.
 
@@ -140,8 +141,7 @@ def lasso_path(
     within one standard error of the best.
     """
     design = build_design(df, label, features, categorical)
-    folded = df.withColumn("_fold", F.col(fold) if fold else fold_of([key], k, seed))
-    rows = design_rows(folded, design, ["_fold"])
+    rows = design_rows(with_folds(df, key, label, k, seed, fold, stratified), design, ["_fold"])
     terms = list(design.terms())
     values = [*[F.col(f"_t{i}") for i in range(len(terms))], F.col("_y")]
     # Sums of products about the means of all rows; penalties, errors and slopes do not change.

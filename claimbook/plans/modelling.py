@@ -102,7 +102,7 @@ def model_sequence(
 
         def chosen(table: DataFrame, categorical) -> list[str]:
             names = features_of(table)
-            path = lasso_path(table, KEY, LABEL, names, categorical, k, seed=seed)
+            path = lasso_path(table, KEY, LABEL, names, categorical, k, seed=seed, stratified=True)
             terms = lasso_select(table, LABEL, names, path.lambda_1se, categorical)
             return _columns_of(terms, names)
 
@@ -120,7 +120,7 @@ def model_sequence(
             ModelSpec("lasso subset with flag", swapped, second),
             ModelSpec("final", aged, FINAL_FEATURES),
         ]
-        return compare_models(specs, KEY, LABEL, k, seed)
+        return compare_models(specs, KEY, LABEL, k, seed, stratified=True)
     finally:
         for table in (full, collapsed, swapped, aged):
             table.unpersist()

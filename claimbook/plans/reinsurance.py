@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimbook.functions import actuarial as act
@@ -17,7 +17,8 @@ from claimbook.functions.semantics import (
     round_even,
     safe_div,
 )
-from claimbook.operators.joins import join_group_values, join_keyed
+from claimbook.operators.joins import join_keyed
+from claimbook.operators.snapshot_state import SnapshotStore
 from claimbook.operators.snapshots import flag_snapshots, totals_at
 
 # Grouping keys of the two loss runs.
@@ -108,12 +109,12 @@ def correct_dates(df: DataFrame, corrections: DataFrame) -> DataFrame:
 
     ``corrections`` has one row per ``claim_number`` with its ``loss_date``.
     Maturities and flags are derived afterwards, so the corrected date is also the
-    date the snapshots are grouped by. A claim with many rows is corrected where its
-    rows are.
+    date the snapshots are grouped by. The few corrections are broadcast if Spark's
+    threshold allows it; beyond that a claim with many rows is split by the adaptive
+    skew join.
     """
-    sizes = df.groupBy("claim_number").agg(F.count(F.lit(1)).alias("_n"))
     fixes = corrections.select("claim_number", F.col("loss_date").alias("_fixed"))
-    joined = join_group_values(df, fixes.join(sizes, "claim_number"), ["claim_number"], "_n")
+    joined = df.join(fixes, "claim_number", "left").select(*df.columns, "_fixed")
     return joined.withColumn("loss_date", F.coalesce("_fixed", "loss_date")).drop("_fixed")
 
 
@@ -188,22 +189,34 @@ def latest_diagonal(
     date first, so no claim's rows are ever brought together; accident year and
     maturity bucket follow from the dates that survive.
     """
+    by = list(by)
+    _require_keys([c for c in by if c not in _DERIVED], keys)
+    latest = totals_at(df, list(keys), "evaluation_date", diagonal_measures(count_rule))
+    return diagonal_table(latest, by, source, null_to_open)
+
+
+_DERIVED = {"accident_year", "maturity_bucket", "maturity"}
+
+
+def diagonal_measures(count_rule: str = "rows") -> dict[str, Column]:
+    """What a diagonal sums per claim, as expressions over ``value_losses`` rows."""
     if count_rule not in ("rows", "ceded"):
         raise ValueError("count_rule is 'rows' or 'ceded'")
-    by = list(by)
-    derived = {"accident_year", "maturity_bucket", "maturity"}
-    _require_keys([c for c in by if c not in derived], keys)
     counted = F.col("is_ceded") if count_rule == "ceded" else F.lit(1)
-    latest = totals_at(
-        df,
-        list(keys),
-        "evaluation_date",
-        {
-            "incurred": F.col("incurred_loss"),
-            "ceded": F.col("ceded_loss"),
-            "claims": counted.cast("long"),
-        },
-    )
+    return {
+        "incurred": F.col("incurred_loss"),
+        "ceded": F.col("ceded_loss"),
+        "claims": counted.cast("long"),
+    }
+
+
+def diagonal_table(
+    latest: DataFrame,
+    by: Sequence[str] = ("accident_year", "maturity_bucket"),
+    source: str | None = None,
+    null_to_open: bool = False,
+) -> DataFrame:
+    """Diagonal from totals per claim and its latest date, computed or taken from a stored state."""
     table = (
         _dated(latest, null_to_open)
         .groupBy(*by)
@@ -218,6 +231,16 @@ def latest_diagonal(
     return table.select(F.lit(source).alias("data_source"), *table.columns)
 
 
+def diagonal_store(
+    spark: SparkSession, path: str, keys: Sequence[str] = PRIMARY_KEYS, count_rule: str = "rows"
+) -> SnapshotStore:
+    """Stored state of a loss run's claims that each new run of ``value_losses`` rows is added to.
+
+    Corrected loss dates are part of the keys, so a run is corrected before it is added.
+    """
+    return SnapshotStore(spark, path, keys, "evaluation_date", diagonal_measures(count_rule))
+
+
 def combine_runs(*runs: DataFrame, by: Sequence[str] = ("accident_year", "maturity_bucket")) -> DataFrame:
     """Ceded loss and count over several loss runs; empty cells are dropped."""
     stacked = runs[0]

@@ -275,3 +275,92 @@ def test_rows_without_a_proper_fold_are_refused(spark, stray):
 def test_no_decision_without_a_probability(spark):
     df = spark.createDataFrame([(0.7,), (0.2,), (None,)], "probability double")
     assert [r["pred"] for r in crossval.decide(df).collect()] == ["Yes", "No", None]
+
+
+@pytest.mark.parametrize("per_bucket", [3, 4096])
+def test_ranks_follow_the_digests_within_each_group(spark, per_bucket):
+    from hashlib import md5
+
+    from claimbook.operators.ranks import hashed_rank
+
+    rows = [(i, ["a", "b", None][i % 3 if i % 5 else 0]) for i in range(500)]
+    got = hashed_rank(spark.createDataFrame(rows, "k int, g string").repartition(6), ["g"], ["k"], 4, per_bucket=per_bucket)
+    want = {}
+    for g in ("a", "b", None):
+        members = sorted((md5(f"{k}|4".encode()).hexdigest(), k) for k, x in rows if x == g)
+        want |= {k: (g, place) for place, (_, k) in enumerate(members)}
+    assert {r["k"]: (r["g"], r["rank"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("k", [2, 10])
+def test_stratified_folds_are_even_in_every_class(spark, k):
+    rows = [(i, 1 if i % 97 == 0 else None if i % 89 == 0 else 0, "kept") for i in range(3000)]
+    table = spark.createDataFrame(rows, "key int, y int, _rank string")
+    folded = crossval.stratified_folds(table, "key", "y", k, 5)
+    assert folded.columns == ["key", "y", "_rank", "fold"]
+    counts = {}
+    for r in folded.groupBy("y", "fold").count().collect():
+        counts.setdefault(r["y"], []).append(r["count"])
+    assert all(len(c) == k and max(c) - min(c) <= 1 for c in counts.values()) and len(counts) == 3
+    again = crossval.stratified_folds(table.repartition(7), "key", "y", k, 5)
+    assert folded.exceptAll(again).isEmpty()
+    balance = crossval.fold_balance(folded, "y").agg(F.sum("n_rows"), F.sum("share")).first()
+    assert balance[0] == 3000 and balance[1] == pytest.approx(k)
+
+
+def test_no_class_is_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = spark.range(60_000).select("id", F.when(F.col("id") % 100 == 0, 1).otherwise(0).alias("y"))
+        folded = crossval.stratified_folds(table, "id", "y", 10)
+        sizes = [r["count"] for r in folded.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 30_000
+
+
+def test_stratified_cross_validation_matches_refits(table, data):
+    x, _, y = data
+    run = crossval.cross_validate(table, "id", "y", ["x0", "x1"], k=4, seed=2, stratified=True)
+    got = {r["id"]: (r["fold"], r["probability"]) for r in run.predictions.collect()}
+    fold = np.array([got[i][0] for i in range(N)])
+    full = np.column_stack([np.ones(N), x[:, :2]])
+    for f in range(4):
+        beta, *_ = irls(full[fold != f], y[fold != f])
+        for i in np.flatnonzero(fold == f):
+            assert got[i][1] == pytest.approx(1 / (1 + np.exp(-full[i] @ beta)), abs=1e-6)
+
+
+def test_model_without_terms(table, data):
+    _, _, y = data
+    model = glm.fit_glm(table, "y", [])
+    rate = y.mean()
+    assert model.kept == () and model.converged
+    assert model.coefficients["(Intercept)"] == pytest.approx(np.log(rate / (1 - rate)))
+    assert model.std_errors["(Intercept)"] == pytest.approx(1 / np.sqrt(N * rate * (1 - rate)))
+    assert glm.vif(table, model).count() == 0
+
+
+@pytest.mark.parametrize("value", [0, 1])
+def test_label_of_one_value(table, value):
+    only = table.withColumn("y", F.lit(value))
+    model = glm.fit_glm(only, "y", [])
+    assert not model.converged
+    facts = glm.fit_statistics(only, model).first()
+    assert facts["deviance"] == pytest.approx(0, abs=1e-6) and facts["n_extreme"] == N
+    assert only.select(model.probability().alias("p")).agg(F.avg("p")).first()[0] == pytest.approx(value)
+
+
+def test_models_over_an_empty_and_a_full_choice_are_compared(table, data):
+    x, _, y = data
+    specs = [crossval.ModelSpec("none", table, []), crossval.ModelSpec("two", table, ["x0", "x1"])]
+    got = {r["model"]: r for r in crossval.compare_models(specs, "id", "y", k=4, seed=1).collect()}
+    rate = y.mean()
+    null = -2 * N * (rate * np.log(rate) + (1 - rate) * np.log(1 - rate))
+    assert got["none"]["deviance"] == pytest.approx(null) and got["none"]["aic"] == pytest.approx(null + 2)
+    assert got["none"]["n_terms"] == 1 and got["none"]["max_vif"] is None
+    full = np.column_stack([np.ones(N), x[:, :2]])
+    beta, *_ = irls(full, y)
+    p = 1 / (1 + np.exp(-full @ beta))
+    want = -2 * np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))
+    assert got["two"]["deviance"] == pytest.approx(want, rel=1e-6) and got["two"]["n_terms"] == 3

@@ -136,3 +136,36 @@ def test_renamed_keys_are_dropped(spark):
     got = joins.join_keyed(left, right, {"accident_year": "trip_year"})
     assert got.columns == ["accident_year", "x", "miles"]
     assert sorted(tuple(r) for r in got.collect()) == [(2019, 1.0, 9.0), (2030, 2.0, None)]
+
+
+def test_attach_reads_the_rows_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).select((F.col("id") % 9).alias("k"), F.col("id").alias("x")).write.parquet(path)
+    groups = spark.createDataFrame([(i, i, f"v{i}") for i in range(9)], "k long, n long, v string")
+    plan = joins.join_group_values(spark.read.parquet(path), groups, ["k"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    flagged = snapshots.flag_snapshots(spark.read.parquet(path), ["k"], "x")._jdf.queryExecution().executedPlan().toString()
+    # the rows, and their bounds for the largest groups and for the others, which share an exchange
+    assert flagged.count("FileScan") == 3
+
+
+@pytest.mark.parametrize("n_groups", [1, 63, 64, 200])
+def test_attach_with_more_groups_than_are_broadcast(spark, n_groups):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % n_groups).alias("k"), F.lit("same").alias("_salt"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.concat(F.lit("v"), F.coalesce(F.col("k"), F.lit(-1))))
+    got = joins.join_group_values(rows, groups, ["k"], "n")
+    assert got.columns == ["k", "_salt", "v"]
+    assert got.count() == 3000
+    assert got.filter("v is null or v <> concat('v', coalesce(k, -1)) or _salt <> 'same'").count() == 0
+
+
+def test_equal_rows_of_a_hot_group_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(40_000, numPartitions=8).select(F.lit(1).alias("k"), F.lit("x").alias("x"))
+        groups = spark.createDataFrame([(1, 40_000, "v")], "k int, n int, v string")
+        sizes = [r["count"] for r in joins.join_group_values(rows, groups, ["k"], "n").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 40_000 and max(sizes) < 40_000
