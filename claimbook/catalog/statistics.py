@@ -12,7 +12,7 @@ from claimbook.catalog import views as v
 from claimbook.catalog.household import PAID_COLUMNS, PAID_HISTORY
 from claimbook.catalog.registry import query
 from claimbook.catalog.views import with_views
-from claimbook.operators import correlation, crossval, glm, lasso, pca
+from claimbook.operators import correlation, crossval, deviance, foldwise, glm, lasso, pca, separation
 from claimbook.plans import households as hh
 from claimbook.plans import modelling as mod
 from claimbook.sources.scratch import materialize
@@ -44,6 +44,35 @@ def pair_correlation(spark, sf_dir):
     return _rounded(table, 8, "r")
 
 
+# Numeric columns of the raw predictors.
+_RAW = (
+    *("inforce_ind", "prior_bi", "time_w_carr", "credit_score", "veh_cnt", "veh_own_cnt", "veh_lease_cnt"),
+    *("veh_lien_cnt", "cnt_auto", "cnt_mtrcyc", "veh_w_coll_cnt", "veh_w_comp_cnt", "veh_w_ers_cnt", "drvr_cnt"),
+    *("cnt_female", "cnt_male", "cnt_married", "cnt_single", "cnt_yth", "min_age", "avg_age", "max_age", "hoh_age"),
+    *("min_mon_lic", "avg_mon_lic", "max_mon_lic", "hoh_mon_lic", "cnt_minr_viol", "avg_minr_viol"),
+    *("cnt_majr_viol", "avg_majr_viol", "cnt_lic_susp", "fire_ind", "homeowner_ind", "curnt_bi_low", "curnt_bi_upp"),
+)
+
+
+def _pair_sql(a, b):
+    flat = f"var_pop({a}) FILTER ({b} IS NOT NULL) < 1e-12 OR var_pop({b}) FILTER ({a} IS NOT NULL) < 1e-12"
+    return (f"{{'a': '{a}', 'b': '{b}', 'n': count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL), "
+            f"'r': CASE WHEN {flat} THEN NULL ELSE round(covar_pop({a}, {b}) / sqrt(var_pop({a}) FILTER ({b} IS NOT NULL)) "
+            f"/ sqrt(var_pop({b}) FILTER ({a} IS NOT NULL)), 8) END}}")
+
+
+@query(
+    "pairwise_correlations",
+    "M1 M2",
+    with_views(f"""
+        SELECT p.a AS a, p.b AS b, p.r AS r, p.n AS n
+        FROM (SELECT unnest([{', '.join(_pair_sql(a, b) for a in _RAW for b in _RAW)}]) AS p FROM predictors)"""),
+)
+def pairwise_correlations(spark, sf_dir):
+    """Each pair of raw columns over the households that have both."""
+    return _rounded(correlation.pairwise_correlations(v.predictors(spark, sf_dir), _RAW), 8, "r")
+
+
 # Numeric columns of the feature table, claim history included.
 _CORR_COLS = (
     *("inforce_ind", "prior_bi", "time_w_carr", "credit_score", "veh_cnt", "veh_own_cnt", "veh_lease_cnt"),
@@ -569,6 +598,77 @@ def fold_metrics(spark, sf_dir):
     return _rounded(table, 6, "accuracy", "kappa")
 
 
+# ------------------------------------------- fold-wise components, separation
+
+
+@query(
+    "fold_component_scores",
+    "M6 M8 G5",
+    with_views("""
+        WITH f AS (SELECT hhld_id, CAST(hhld_id % 10 AS INTEGER) AS fold, CAST(credit_score AS DOUBLE) AS x,
+                          CAST(avg_age AS DOUBLE) AS y FROM predictors),
+        h AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, CAST(count(x) AS DOUBLE) AS nx, CAST(count(y) AS DOUBLE) AS ny,
+                     sum(x) AS sx, sum(y) AS sy FROM f GROUP BY fold),
+        m AS (SELECT h.fold, a.n - h.n AS n, (a.sx - h.sx) / (a.nx - h.nx) AS mx, (a.sy - h.sy) / (a.ny - h.ny) AS my
+              FROM h, (SELECT sum(n) AS n, sum(nx) AS nx, sum(ny) AS ny, sum(sx) AS sx, sum(sy) AS sy FROM h) a),
+        d AS (SELECT m.fold, m.mx, m.my, sqrt(sum(power(coalesce(x, mx) - mx, 2)) / (max(m.n) - 1)) AS dx,
+                     sqrt(sum(power(coalesce(y, my) - my, 2)) / (max(m.n) - 1)) AS dy,
+                     sign(sum((coalesce(x, mx) - mx) * (coalesce(y, my) - my))) AS s
+              FROM m JOIN f ON f.fold <> m.fold GROUP BY 1, 2, 3)
+        SELECT hhld_id, f.fold, round(((coalesce(x, mx) - mx) / dx + s * (coalesce(y, my) - my) / dy) / sqrt(2), 6) AS pc1
+        FROM f JOIN d ON f.fold = d.fold"""),
+)
+def fold_component_scores(spark, sf_dir):
+    """First component of two columns with gaps; in closed form the scaled columns' sum or difference."""
+    rows = v.predictors(spark, sf_dir).select(
+        "hhld_id", "credit_score", "avg_age", (F.col("hhld_id") % 10).cast("int").alias("fold"))
+    found = foldwise.fold_components(rows, {"pc": (["credit_score", "avg_age"], 1)}, "fold")
+    return _rounded(found.held_out(rows, "fold").select("hhld_id", "fold", "pc1"), 6, "pc1")
+
+
+@query("components_in_each_fold", "G5 M9 G4")
+def components_in_each_fold(spark, sf_dir):
+    """Out-of-fold probabilities with all families replaced by scores that their own fold had no part in."""
+    table = _labelled(spark, sf_dir).withColumn("hoh_married_ind", F.col("hoh_married_ind").cast("double"))
+    run = foldwise.cross_validate_components(
+        table, "hhld_id", "future_clm_ind", ["prior_bi", "credit_score", "inforce_ind"], mod.FAMILIES, k=10, seed=7)
+    return run.predictions
+
+
+@query(
+    "separating_terms",
+    "G3",
+    with_views("""
+        WITH t AS (SELECT future_clm_ind AS y, x.* FROM predictors JOIN outcomes USING (hhld_id),
+                   LATERAL (VALUES ('credit_score', CAST(credit_score AS DOUBLE)), ('inforce_ind', CAST(inforce_ind AS DOUBLE)),
+                     ('only_with', CAST(inforce_ind * future_clm_ind AS DOUBLE)), ('after', 3.0 * future_clm_ind + veh_cnt / 50.0)) x(term, v)
+                   WHERE credit_score IS NOT NULL AND inforce_ind IS NOT NULL AND veh_cnt IS NOT NULL),
+        e AS (SELECT term, min(v) FILTER (y = 0) AS l0, max(v) FILTER (y = 0) AS h0, min(v) FILTER (y = 1) AS l1,
+                     max(v) FILTER (y = 1) AS h1 FROM t GROUP BY term)
+        SELECT term, CASE WHEN h0 < l1 OR h1 < l0 THEN 'complete'
+                          WHEN (h0 <= l1 OR h1 <= l0) AND greatest(h0, h1) > least(l0, l1) THEN 'quasi' ELSE 'none' END AS kind
+        FROM e"""),
+)
+def separating_terms(spark, sf_dir):
+    """Two plain terms, an indicator that is only set with a claim, and one beyond all others with a claim."""
+    return separation.separating_terms(*_separable(spark, sf_dir))
+
+
+def _separable(spark, sf_dir):
+    table = v.predictors(spark, sf_dir).join(v.outcomes(spark, sf_dir), "hhld_id").withColumns({
+        "only_with": F.col("inforce_ind") * F.col("future_clm_ind"),
+        "after": 3.0 * F.col("future_clm_ind") + F.col("veh_cnt") / 50.0})
+    return table, glm.build_design(table, "future_clm_ind", ["credit_score", "inforce_ind", "only_with", "after"])
+
+
+@query("separated_model", "G3")
+def separated_model(spark, sf_dir):
+    """What a fit with an indicator that is only set with a claim says of its terms."""
+    table, _ = _separable(spark, sf_dir)
+    model = glm.fit_glm(table, "future_clm_ind", ["credit_score", "inforce_ind", "only_with"])
+    return separation.separation(table, model).withColumn("converged", F.lit(model.converged))
+
+
 # ------------------------------------------------ reports and model selection
 
 
@@ -642,6 +742,45 @@ def lasso_error_curve_one_indicator(spark, sf_dir):
     return _rounded(path.table(spark), 8, "lambda", "cv_error", "cv_sd")
 
 
+@query(
+    "lasso_deviance_curve_one_indicator",
+    "G13 G14",
+    with_views("""
+        WITH f AS (SELECT CAST(hhld_id % 10 AS INTEGER) AS fold, inforce_ind AS x, future_clm_ind AS y
+                   FROM predictors JOIN outcomes USING (hhld_id)),
+        h AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS n1,
+                     CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(x * y) AS DOUBLE) AS pos1 FROM f GROUP BY fold),
+        a AS (SELECT sum(n) AS n, sum(n1) AS n1, sum(pos) AS pos, sum(pos1) AS pos1 FROM h),
+        top AS (SELECT abs(pos1 / n - n1 / n * pos / n) / sqrt(n1 / n * (1 - n1 / n)) AS top FROM a),
+        grid AS (SELECT j, top * power(CAST(10 AS DOUBLE), -4.0 * j / 39) AS lam FROM top, range(40) AS r(j)),
+        t AS (SELECT h.*, (a.n1 - h.n1) / (a.n - h.n) AS q, (a.pos1 - h.pos1) / (a.n1 - h.n1) AS r1,
+                     (a.pos - a.pos1 - h.pos + h.pos1) / (a.n - a.n1 - h.n + h.n1) AS r0,
+                     (a.pos - h.pos) / (a.n - h.n) AS rate FROM h, a),
+        p AS (SELECT *, sign(r1 - r0) AS s, lam * sqrt(q * (1 - q)) AS pull FROM t, grid),
+        m AS (SELECT *, r1 - s * pull / q AS p1, r0 + s * pull / (1 - q) AS p0 FROM p),
+        c AS (SELECT fold, j, lam, n, n1, pos, pos1, CASE WHEN s * (p1 - p0) > 0 THEN p1 ELSE rate END AS p1,
+                     CASE WHEN s * (p1 - p0) > 0 THEN p0 ELSE rate END AS p0 FROM m),
+        e AS (SELECT j, lam, n, -2 * (pos1 * ln(p1) + (n1 - pos1) * ln(1 - p1) + (pos - pos1) * ln(p0)
+                       + (n - n1 - pos + pos1) * ln(1 - p0)) / n AS err FROM c),
+        w AS (SELECT j, lam, sum(n * err) / sum(n) AS cv FROM e GROUP BY j, lam)
+        SELECT round(w.lam, 8) AS "lambda", round(cv, 6) AS cv_error,
+               round(sqrt(sum(n * (err - cv) * (err - cv)) / sum(n) / 9), 6) AS cv_sd,
+               CAST(CASE WHEN w.j = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_nonzero
+        FROM w JOIN e ON w.j = e.j GROUP BY w.j, w.lam, cv"""),
+)
+def lasso_deviance_curve_one_indicator(spark, sf_dir):
+    """Held-out deviance per penalty; in closed form each group's rate is moved towards the other."""
+    table = (
+        v.predictors(spark, sf_dir).select("hhld_id", "inforce_ind")
+        .join(v.outcomes(spark, sf_dir), "hhld_id")
+        .withColumn("fold", (F.col("hhld_id") % 10).cast("int"))
+    )
+    path = deviance.deviance_path(
+        table, "hhld_id", "future_clm_ind", ["inforce_ind"], n_lambda=40, fold="fold", block=40
+    )
+    return _rounded(_rounded(path.table(spark), 8, "lambda"), 6, "cv_error", "cv_sd")
+
+
 @query(
     "lasso_one_indicator",
     "G14",
@@ -702,6 +841,16 @@ def lasso_error_curve(spark, sf_dir):
     return path.table(spark)
 
 
+@query("lasso_deviance_curve", "G13 G4")
+def lasso_deviance_curve(spark, sf_dir):
+    """Held-out deviance per penalty over the whole modelling table, folds dealt by class."""
+    table, names = _full(spark, sf_dir)
+    path = deviance.deviance_path(
+        table, "hhld_id", "future_clm_ind", names, mod.CATEGORICAL, n_lambda=30, smallest=1e-2, stratified=True, block=15
+    )
+    return path.table(spark)
+
+
 @query("lasso_selected_features", "G14 G13")
 def lasso_selected_features(spark, sf_dir):
     table, names = _full(spark, sf_dir)

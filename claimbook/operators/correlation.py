@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimbook.functions.semantics import quoted
+from claimbook.operators.gram import column_means, cross_products
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
@@ -33,6 +34,36 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
+def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long correlation matrix ``a, b, r, n``, each pair over the rows that have both values.
+
+    Values, their squares and their masks go through one pass of cross products, from which
+    every pair's own means and spreads follow. ``r`` is null where fewer than two rows have
+    both, or one of the columns is constant in them. Values that are not numbers are missing.
+    """
+    p = len(cols)
+    raw = [F.col(quoted(c)).cast("double") for c in cols]
+    present = [F.when(~F.isnan(v), v) for v in raw]
+    origin = column_means(df, present)
+    value = [F.coalesce(v - F.lit(o), F.lit(0.0)) for v, o in zip(present, origin)]
+    mask = [v.isNotNull().cast("double") for v in present]
+    sums = cross_products(df, [*mask, *value, *[v * v for v in value]]).get(0, np.zeros((3 * p, 3 * p)))
+    n, one, two = sums[:p, :p], sums[p : 2 * p, :p], sums[p : 2 * p, p : 2 * p]
+    square = sums[2 * p :, :p]
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            m = n[i, j]
+            within_a = m * square[i, j] - one[i, j] ** 2
+            within_b = m * square[j, i] - one[j, i] ** 2
+            between = m * two[i, j] - one[i, j] * one[j, i]
+            flat = min(
+                within_a - 1e-12 * m * square[i, j], within_b - 1e-12 * m * square[j, i]) <= 0
+            r = None if m < 2 or flat else float(between / np.sqrt(within_a * within_b))
+            rows.append((a, b, r, int(m)))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long")
+
+
 def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of two columns as a one-row table, null when one is constant.
 

@@ -34,6 +34,7 @@ class LassoPath:
     coefficients: np.ndarray
     lambda_min: float
     lambda_1se: float
+    n_scans: int = 2
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -113,6 +114,19 @@ def _descend(
     return out
 
 
+def penalty_choices(
+    lambdas: np.ndarray, errors: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Mean and standard error over the folds, the best penalty, and the largest one within a
+    standard error of it; ``errors`` is folds by penalties."""
+    mean = np.average(errors, axis=0, weights=sizes)
+    variance = np.average((errors - mean) ** 2, axis=0, weights=sizes)
+    sd = np.sqrt(variance / (len(sizes) - 1))
+    best = int(np.argmin(mean))
+    within = np.flatnonzero(mean <= mean[best] + sd[best])[0]
+    return mean, sd, float(lambdas[best]), float(lambdas[within])
+
+
 def _held_out_error(sums: np.ndarray, intercept: float, beta: np.ndarray) -> float:
     """Mean squared error of a linear model on the rows behind ``sums``."""
     c = np.concatenate([[-intercept], -beta, [1.0]])
@@ -162,11 +176,7 @@ def lasso_path(
         intercepts = m.y_mean - betas @ m.x_mean
         errors.append([_held_out_error(block, a, b) for a, b in zip(intercepts, betas)])
         sizes.append(block[0, 0])
-    weights, table = np.array(sizes), np.array(errors)
-    mean = np.average(table, axis=0, weights=weights)
-    variance = np.average((table - mean) ** 2, axis=0, weights=weights)
-    sd = np.sqrt(variance / (len(blocks) - 1))
-    best = int(np.argmin(mean))
+    mean, sd, least, simplest = penalty_choices(lambdas, np.array(errors), np.array(sizes))
     final = paths[-1]
     return LassoPath(
         tuple(terms),
@@ -175,8 +185,8 @@ def lasso_path(
         sd,
         (final != 0).sum(axis=1),
         final / everything.x_scale,
-        float(lambdas[best]),
-        float(lambdas[np.flatnonzero(mean <= mean[best] + sd[best])[0]]),
+        least,
+        simplest,
     )
 
 
