@@ -13,7 +13,7 @@ from claimbook.functions import actuarial as act
 from claimbook.functions import semantics as sem
 from claimbook.operators import joins, quality, reshape, snapshots, timeseries
 from claimbook.plans import households, reinsurance
-from claimbook.sources import schemas, tables
+from claimbook.sources import rejects, schemas, tables
 from claimbook.sources.scratch import shared_folder
 
 # ---------------------------------------------------------------- sources
@@ -52,6 +52,51 @@ def delimited_scan_named_columns(spark, sf_dir):
     )
 
 
+# Claims as text with planted faults: missing keys, and dates, amounts and flags that do not parse.
+_FAULTY_SQL = """
+    keyed AS (SELECT *, hhld_id * 7 + CAST(floor(pd_amt) AS BIGINT) AS k FROM claims),
+    faults AS (SELECT *, concat_ws('; ', CASE WHEN k % 17 = 0 THEN 'clm_dates: not DATE' END,
+                 CASE WHEN k % 13 = 0 THEN 'pd_amt: not DOUBLE' END, CASE WHEN k % 11 = 0 THEN 'aft_ind: not INT' END,
+                 CASE WHEN k % 31 = 0 THEN 'hhld_id: missing' END) AS reason FROM keyed)"""
+
+
+def _faulty(spark, sf_dir):
+    """The faulty text, read with its faults kept apart."""
+    k = F.col("hhld_id") * 7 + F.floor("pd_amt")
+    text = v.claims(spark, sf_dir).select(
+        F.when(k % 31 == 0, F.lit(None)).otherwise(F.col("hhld_id").cast("string")).alias("hhld_id"),
+        F.when(k % 17 == 0, "31/31/2015").otherwise(F.date_format("clm_dates", schemas.DATE_PATTERN)).alias("clm_dates"),
+        F.when(k % 13 == 0, "n/a").otherwise(F.col("pd_amt").cast("string")).alias("pd_amt"),
+        F.when(k % 11 == 0, "yes").otherwise(F.col("aft_ind").cast("string")).alias("aft_ind"),
+    )
+    path = shared_folder(spark)
+    tables.write_table(text, path, fmt="csv")
+    return rejects.read_checked(spark, path, schemas.CLAIMS, required=["hhld_id"])
+
+
+@query(
+    "checked_scan_kept",
+    "S1 S2 S3",
+    with_views(f"""WITH {_FAULTY_SQL.strip()}
+        SELECT hhld_id, CAST(clm_dates AS VARCHAR) AS clm_dates, pd_amt, aft_ind FROM faults WHERE reason = ''"""),
+)
+def checked_scan_kept(spark, sf_dir):
+    return _faulty(spark, sf_dir).kept.withColumn("clm_dates", F.col("clm_dates").cast("string"))
+
+
+@query(
+    "checked_scan_rejected",
+    "S1 S2 S3",
+    with_views(f"""WITH {_FAULTY_SQL.strip()}
+        SELECT reason, CAST(length(reason) - length(replace(reason, ';', '')) + 1 AS INTEGER) AS n_problems,
+               count(*) AS n_rows FROM faults WHERE reason <> '' GROUP BY 1, 2"""),
+)
+def checked_scan_rejected(spark, sf_dir):
+    """Rejected rows by their reasons."""
+    rejected = _faulty(spark, sf_dir).rejected
+    return rejected.groupBy("reason", "n_problems").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "parse_text_dates",
     "S3",
