@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -66,3 +67,20 @@ def without_repeats(docs, window=13):
                 gone.update(range(a, a + window))
         out[i] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
     return out
+
+
+def near_copies(rows, words=5, similarity=0.8):
+    """Keys that stay of (key, text) with distinct keys, all pairs compared."""
+    def runs(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    sets = [runs(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.permutations(range(len(rows)), 2):
+            if label[j] < label[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                label[i], changed = label[j], True
+    return set(label)
