@@ -6,7 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from claimbook.llm import language, queries, simhash, stages
 from claimbook.llm.tables import table
-from reference_forms import near_copies, without_repeats
+from reference_forms import components, fingerprint, near_copies, without_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,7 +89,7 @@ def test_queries_match_their_sql(spark, name):
 def test_entry_registers_every_operator():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.registered()} <= names
-    assert {n.split("_")[0] for n in queries.registered()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.registered()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_held_out_accuracy(spark):
