@@ -74,6 +74,43 @@ def column_summary_losses(spark, sf_dir):
     return _rounded(table, 6, "q1", "median", "mean", "q3")
 
 
+def _date_summary_sql(source, cols):
+    day = "date_diff('day', DATE '1970-01-01', {})"
+    facts = {"min": "min({})", "q1": "quantile_cont({}, 0.25)", "median": "quantile_cont({}, 0.5)", "mean": "avg({})",
+             "q3": "quantile_cont({}, 0.75)", "max": "max({})"}
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS name, " + ", ".join(
+            f"CAST(DATE '1970-01-01' + CAST(floor(round({f.format(f'CAST({day.format(c)} AS DOUBLE)')}, 9)) AS INTEGER) AS VARCHAR) AS {n}"
+            for n, f in facts.items()) + f", count(*) FILTER ({c} IS NULL) AS n_null FROM {source}"
+        for c in cols)
+
+
+@query("date_summary", "D1", with_views(_date_summary_sql("loss_run_primary", ("loss_date", "evaluation_date"))))
+def date_summary(spark, sf_dir):
+    """Range and quartiles of the dates of a loss run."""
+    table = quality.summarize_dates(v.loss_run_primary(spark, sf_dir), ["loss_date", "evaluation_date"])
+    return table.select("name", *[F.col(c).cast("string").alias(c) for c in table.columns[1:-1]], "n_null")
+
+
+_LEVEL_COLS = ("zipcode", "curnt_insurer", "hoh_married", "veh_cnt")
+
+
+@query(
+    "level_summary",
+    "D1 D14",
+    with_views(f"""
+        WITH t AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS level FROM predictors" for c in _LEVEL_COLS)}),
+        n AS (SELECT name, level, count(*) AS n_rows FROM t WHERE level IS NOT NULL GROUP BY 1, 2),
+        w AS (SELECT name, count(DISTINCT level) AS n_levels, count(level) AS n_valued, count(*) - count(level) AS n_null FROM t GROUP BY 1),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY n_rows DESC, level) AS INTEGER) AS place FROM n)
+        SELECT r.name, place, level, n_rows, round(n_rows / CAST(n_valued AS DOUBLE), 8) AS share, n_levels, n_null
+        FROM r JOIN w ON r.name = w.name WHERE place <= 6"""),
+)
+def level_summary(spark, sf_dir):
+    """The commonest levels of text, flag and count columns."""
+    return _rounded(quality.summarize_levels(v.predictors(spark, sf_dir), _LEVEL_COLS), 8, "share")
+
+
 @query(
     "null_profile",
     "D2 A15",

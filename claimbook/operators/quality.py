@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimbook.functions.semantics import (
@@ -49,6 +49,45 @@ def summarize_columns(df: DataFrame, cols: Sequence[str], exact: bool = True) ->
     )
 
 
+def summarize_dates(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row per date column: first, quartiles, mean and last date, and null count.
+
+    Quantiles interpolate between days as for numbers and, like the mean, are then cut to
+    whole days. Timestamps count by their day. A column without dates has nulls.
+    """
+    days = [F.datediff(F.col(quoted(c)).cast("date"), F.lit("1970-01-01").cast("date")).alias(f"d{i}") for i, c in enumerate(cols)]
+    numbers = summarize_columns(df.select(*days), [f"d{i}" for i in range(len(cols))], exact)
+    named = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (f"d{i}", c)]), F.col("name"))
+    return numbers.select(
+        named.alias("name"),
+        *[F.date_from_unix_date(F.floor(F.round(c, 9)).cast("int")).alias(c) for c in ("min", "q1", "median", "mean", "q3", "max")],
+        "n_null",
+    )
+
+
+def summarize_levels(df: DataFrame, cols: Sequence[str], top: int = 6) -> DataFrame:
+    """The most frequent levels of text, flag or category columns with exact counts.
+
+    Per column its ``top`` levels by rows (ties by level): ``name, place, level, n_rows, share,
+    n_levels, n_null``; ``share`` is of the rows that have a value. Counts are combined before
+    they are shuffled, and every task keeps the ``top`` of a column only, so a column may have
+    as many levels as rows. A column without values has no row.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(quoted(c)).cast("string").alias("level")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("name", "level").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    whole = counts.groupBy("name").agg(
+        F.count("level").alias("n_levels"),
+        F.sum(F.when(F.col("level").isNotNull(), F.col("n_rows")).otherwise(0)).alias("n_valued"),
+        F.sum(F.when(F.col("level").isNull(), F.col("n_rows")).otherwise(0)).alias("n_null"),
+    )
+    order = Window.partitionBy("name").orderBy(F.desc("n_rows"), "level")
+    first = counts.filter(F.col("level").isNotNull()).withColumn("place", F.row_number().over(order)).filter(
+        F.col("place") <= top)
+    return first.join(whole, "name").select(
+        "name", "place", "level", "n_rows", safe_div("n_rows", "n_valued").alias("share"), "n_levels", "n_null")
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null count and share of every column, from one aggregate."""
     names = list(cols) if cols is not None else df.columns
