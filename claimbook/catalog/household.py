@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimbook.catalog import views as v
@@ -9,6 +11,7 @@ from claimbook.catalog.registry import query
 from claimbook.catalog.views import with_views
 from claimbook.functions import actuarial as act
 from claimbook.plans import households as hh
+from claimbook.sources.bucketed import write_bucketed
 
 
 def _rounded(df, digits, *cols):
@@ -186,6 +189,28 @@ def merged_experience(spark, sf_dir):
     return _rounded(_rounded(table, 4, "loss_amount"), 6, "loss_ratio")
 
 
+_BUCKETS_OF_KEYS = 16
+
+
+@query(
+    "merged_experience_bucketed",
+    "S5 E11 J1",
+    with_views(f"WITH h AS ({_CLAIM_COUNTS}) " + _MERGED.format(predictors="predictors")),
+)
+def merged_experience_bucketed(spark, sf_dir):
+    run = uuid.uuid4().hex
+    sides = [
+        write_bucketed(table, f"{name}_{run}", "hhld_id", _BUCKETS_OF_KEYS)
+        for name, table in (
+            ("predictors", v.predictors(spark, sf_dir)),
+            ("counts", hh.claim_counts(v.claims(spark, sf_dir), v.AS_OF)),
+            ("outcomes", v.outcomes(spark, sf_dir)),
+        )
+    ]
+    table = hh.merge_counted(*sides)
+    return _rounded(_rounded(table, 4, "loss_amount"), 6, "loss_ratio")
+
+
 @query(
     "merged_experience_zero_filled",
     "E11 J7",

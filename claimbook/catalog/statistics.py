@@ -12,7 +12,7 @@ from claimbook.catalog import views as v
 from claimbook.catalog.household import PAID_COLUMNS, PAID_HISTORY
 from claimbook.catalog.registry import query
 from claimbook.catalog.views import with_views
-from claimbook.operators import correlation, crossval, deviance, foldwise, glm, lasso, pca, separation
+from claimbook.operators import correlation, crossval, deviance, foldwise, glm, lasso, levels, pca, separation
 from claimbook.plans import households as hh
 from claimbook.plans import modelling as mod
 from claimbook.sources.scratch import materialize
@@ -879,3 +879,41 @@ def model_sequence(spark, sf_dir):
         v.AS_OF,
         k=10,
     )
+
+
+# ------------------------------------------------------------ categories of many levels
+
+
+@query(
+    "level_index_of_households",
+    "G2",
+    with_views("""
+        SELECT hhld_id AS level, row_number() OVER (ORDER BY hhld_id) - 1 AS position, count(*) AS n
+        FROM claims GROUP BY hhld_id"""),
+)
+def level_index_of_households(spark, sf_dir):
+    return levels.index_levels(v.claims(spark, sf_dir), "hhld_id")
+
+
+@query(
+    "fault_by_household_levels",
+    "G2 G3",
+    with_views("""
+        WITH t AS (SELECT hhld_id, count(*) AS n, sum(CASE WHEN aft_ind = 1 THEN 1 ELSE 0 END) AS n_yes
+                   FROM claims WHERE aft_ind IS NOT NULL GROUP BY hhld_id),
+        m AS (SELECT *, n_yes = 0 OR n_yes = n AS separated FROM t),
+        base AS (SELECT n AS n0, n_yes AS y0, hhld_id AS first FROM m WHERE NOT separated ORDER BY hhld_id LIMIT 1),
+        e AS (SELECT hhld_id, n, n_yes, separated, first,
+                     CASE WHEN NOT separated THEN ln(n_yes / (n - n_yes)) - ln(y0 / (n0 - y0)) END AS estimate,
+                     CASE WHEN NOT separated AND hhld_id <> first
+                          THEN sqrt(1 / n_yes + 1 / (n - n_yes) + 1 / y0 + 1 / (n0 - y0)) END AS std_error
+              FROM m, base)
+        SELECT hhld_id AS level, n, CAST(n_yes AS BIGINT) AS n_yes, separated, round(estimate, 6) AS estimate,
+               round(std_error, 6) AS std_error, round(estimate / std_error, 6) AS z_value FROM e"""),
+)
+def fault_by_household_levels(spark, sf_dir):
+    rows = v.claims(spark, sf_dir).select(
+        "hhld_id", F.when(F.col("aft_ind").isNotNull(), (F.col("aft_ind") == 1).cast("int")).alias("at_fault"))
+    model = levels.fit_levels(rows, "at_fault", "hhld_id")
+    base = model.effects.filter("not separated").agg(F.min("level")).first()[0]
+    return _rounded(levels.level_table(model, base), 6, "estimate", "std_error", "z_value")

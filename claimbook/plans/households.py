@@ -185,6 +185,14 @@ def merge_experience(
     return merged.join(outcomes, "hhld_id", "inner")
 
 
+def merge_counted(predictors: DataFrame, counts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The merge of ``merge_experience`` over claim counts that are stored with a row per household.
+
+    Where all three tables are kept in equal buckets of ``hhld_id``, no row is moved.
+    """
+    return join_fill(predictors, counts, "hhld_id").join(outcomes, "hhld_id", "inner")
+
+
 def modelling_table(features: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Features left-joined to the response, with the response also as Yes/No."""
     response = outcomes.select("hhld_id", "future_clm_ind")
