@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +33,15 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def smallest_reachable(pairs: DataFrame, vertices: DataFrame, vertex: str, name: str) -> DataFrame:
+def smallest_reachable(pairs: DataFrame, vertices: DataFrame, vertex: str, name: str,
+                       write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``vertex, label``: the least ``name`` (nulls last) among all vertices reachable over ``pairs (a, b)``.
 
-    Each round writes its edges to the shared folder and ends the lineage there. The rounds
+    Each round hands its edges to ``write``, which ends the lineage in the shared folder. The rounds
     stop when a round changes nothing; their number grows with the logarithm of the longest path.
     """
-    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter("u <> v").distinct())
+    edges = write(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .filter("u <> v").distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -47,7 +50,7 @@ def smallest_reachable(pairs: DataFrame, vertices: DataFrame, vertex: str, name:
     for _ in range(MAX_ROUNDS):
         if not now[0]:
             break
-        edges = written(_stars(_stars(edges, True), False))
+        edges = write(_stars(_stars(edges, True), False))
         after = state(edges)
         if after == now:
             break

@@ -9,7 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from claimbook.sources.scratch import shared_folder
+from claimbook.sources.scratch import remove, shared_folder
+
+# Spark's own setting: the shuffle files of a query go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class HandedOver:
+    """Tables handed from step to step inside one operator, and deleted there.
+
+    A table is computed once and its lineage ends at its files in the shared folder. The shuffle
+    files of the query that wrote it are freed with it: nothing reads them any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, before = shared_folder(self.spark), self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[1])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all but these tables."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for t, _ in list(self.paths.values()) if id(t) not in kept])
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return pc.fill_null(column, "").to_pylist()
