@@ -16,7 +16,9 @@ they become the best.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -117,15 +119,17 @@ class Vocabulary:
 
     def units(self, text: str) -> list[str]:
         """The normalised text cut where no piece can cross."""
-        out: list[str] = [""]
-        for i, part in enumerate(self.model.normalize(text).split(MARK)):
-            if i == 0:
-                out[0] = part
-            elif out[-1] and out[-1][-1] != MARK:
+        head, *parts = self.model.normalize(text).split(MARK)
+        if "" not in parts:
+            out = [MARK + part for part in parts]
+            return [head, *out] if head else out
+        out = [head]
+        for part in parts:
+            if out[-1] and out[-1][-1] != MARK:
                 out.append(MARK + part)
             else:
                 out[-1] += MARK + part
-        return out if out != [""] else []
+        return out
 
     def decode(self, ids) -> str:
         """The text of a sequence of piece ids, the leading dummy space taken off."""
@@ -261,12 +265,12 @@ class Search:
     """Top-k perturbed segmentations of a batch of texts, one sample of each text a round."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str], seeds: np.ndarray):
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = defaultdict(itertools.count().__next__)
         code, count = [], []
         for text in texts:
             units = vocab.units(text)
             count.append(len(units))
-            code.extend([seen.setdefault(u, len(seen)) for u in units])
+            code.extend(map(seen.__getitem__, units))
         self.vocab, self.lattice = vocab, Lattice(vocab, list(seen))
         self.count = np.array(count, np.int64)
         self.base = np.cumsum(self.count) - self.count
