@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimbook.llm import alignment, decontaminate, language, licences, lm, merkle, pieces, secretscan, shards, simhash, substrings, tokens, topk
+from claimbook.llm import alignment, contrast, decontaminate, language, licences, merkle, pieces, secretscan, shards, simhash, substrings, tokens, topk
 from claimbook.llm.tables import table
 
 
@@ -66,7 +66,7 @@ def op7_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    return lm.score(docs, lm.fit(docs.join(good.hint("merge"), "doc_id", "left"), "good"))
+    return contrast.score_corpus(docs.join(good.hint("merge"), "doc_id", "left"), "good").drop("good")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
