@@ -3,10 +3,11 @@
 Counting and scoring meet in one exchange. The loss of word b after word a falls into a part
 of the pair, ``-log(n(a, b) + D * base(b))``, and a part of the word before, ``log(n(a) + D)``.
 All tokens of one word go to one part of the exchange, so its count, the counts of its pairs
-and both parts of the losses are known there; sums per document come back. Words that are one
-of 2**HOT_BITS tokens or more are broadcast with their exact counts, and so are the counts of the pairs
-of two such words; a frequent word after a rare one is dealt by the pair. No part holds a key
-of more than 2**-HOT_BITS of all tokens. Tokens travel as packed blocks, not as rows.
+and both parts of the losses are known there; sums per document come back to the chunk of
+documents they were read in. Words that are one of 2**HOT_BITS tokens or more are broadcast
+with their exact counts, and so are the counts of the pairs of two such words; a frequent word after a rare one is dealt by the pair. No part holds a key
+of more than 2**-HOT_BITS of all tokens. Tokens and sums travel as packed blocks, not as rows:
+a document meets ever more parts as the corpus grows, but never more than it has tokens.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from claimbook.llm.lm import DISCOUNT_MASS, FLOOR, START
 from claimbook.llm.tables import HandedOver, slices, texts_of
 
 HOT_BITS = 9
-PART = 3_000_000  # tokens dealt to one part of the exchange, about
+PART = 2_000_000  # tokens dealt to one part of the exchange, about
 CHUNK = 2_000_000  # tokens packed at once
 MEMO = 400_000  # words a task remembers
 LONG = 1 << 20  # longer texts are read piece by piece
 SPACE = re.compile(r"\s")
 TOKENS, SUMS = 0, 1
+PIECE = 4 << 20  # bytes of text read at once
+BLOCK = "source long, part int, kind int, block binary"
 CHOSEN, FOLLOWED = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TOKEN_TYPES = (np.uint64, np.int32, np.int32, np.int64, np.int32, np.uint8)
@@ -117,7 +120,7 @@ def _word_counts(memo: int):
                 [pa.array(words.hash.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
                 names=["word", "target", "background"])
 
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, PIECE):
             codes, lengths = words.read(texts_of(batch.column(0)))
             chosen = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
             n = len(words.hash)
@@ -136,7 +139,7 @@ def _hot_pairs(hot: np.ndarray, memo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, size = _Words(), len(hot)
         sums = np.zeros((2, size * size), np.int64)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, PIECE):
             if len(words.hash) > memo:
                 words = _Words()
             codes, lengths = words.read(texts_of(batch.column(0)))
@@ -168,14 +171,15 @@ class _Known:
         return (count + FLOOR) / (self.totals[m] + FLOOR * self.vocabulary)
 
 
+def _row(source: int, part: int, kind: int, block: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([source], pa.int64()), pa.array([part], pa.int32()), pa.array([kind], pa.int32()),
+         pa.array([block], pa.binary())], names=["source", "part", "kind", "block"])
+
+
 def _blocks(shared, parts: int, chunk: int, memo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words, held, size = shared.value, _Words(), [], 0
-
-        def row(part: int, kind: int, block: bytes):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary())],
-                names=["part", "kind", "block"])
+        known, words, held, size, source = shared.value, _Words(), [], 0, 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
             b, a, rows, flags, part = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -189,16 +193,17 @@ def _blocks(shared, parts: int, chunk: int, memo: int):
                 used = used[used >= 0]
                 local[used] = np.arange(len(used))
                 names, which = np.unique(rows[x:y], return_inverse=True)
-                yield row(int(part[x]), TOKENS, _packed(
+                yield _row(source, int(part[x]), TOKENS, _packed(
                     words.hash[used], local[b[x:y]], local[a[x:y]], names, which.astype(np.int32), flags[x:y]))
 
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, PIECE):
             if len(words.hash) > memo:
                 if held:
                     yield from dealt()
                 words, held, size = _Words(), [], 0
             codes, lengths = words.read(texts_of(batch.column(0)))
             rows = batch.column(2).to_numpy()
+            source = source if held else int(rows[0])  # all tokens of a document have one source
             a, followed = words.before(codes, lengths)
             owner = np.repeat(np.arange(len(rows)), lengths)
             chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[owner]
@@ -213,7 +218,7 @@ def _blocks(shared, parts: int, chunk: int, memo: int):
                 loss[here] = np.where(x >= 0, known.pair[m][x, y], known.first[m][y])
                 loss[after] += known.after[m][hot_b[after]]
                 near.append(np.bincount(owner, loss, minlength=len(rows)).astype(np.float64))
-            yield row(int(rows[0]) % parts, SUMS, _packed(rows, lengths, *near))
+            yield _row(source, int(rows[0]) % parts, SUMS, _packed(rows, lengths, *near))
             away = np.ones(len(codes), bool)
             away[here] = False
             away = np.flatnonzero(away)
@@ -236,54 +241,77 @@ def _blocks(shared, parts: int, chunk: int, memo: int):
     return run
 
 
-def _losses(known: _Known, tokens: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """Sums per document over all tokens of one part."""
-    b, a, rows, flags = (np.concatenate(x) for x in zip(*tokens, strict=True))
+def _losses(known: _Known, tokens: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Sums over the tokens of one part, by block and document."""
+    sources, names, *columns = zip(*tokens, strict=True)
+    ends = np.cumsum([len(x) for x in names])
+    b, a, flags = (np.concatenate(x) for x in columns[:3])
+    owner = np.concatenate([x + (end - len(n)) for x, n, end in zip(columns[3], names, ends.tolist(), strict=True)])
     order = np.lexsort((a, b))
-    b, a, rows, flags = b[order], a[order], rows[order], flags[order]
+    b, a, flags, owner = b[order], a[order], flags[order], owner[order]
     word = np.concatenate([[True], b[1:] != b[:-1]])
     pair = np.flatnonzero(word | np.concatenate([[True], a[1:] != a[:-1]]))
     word = np.flatnonzero(word)
     per_word, per_pair = np.diff(np.append(word, len(b))), np.diff(np.append(pair, len(b)))
     place = _place(known.hot, b[word])
-    cold = np.repeat(place < 0, per_word)
-    chosen = (flags & CHOSEN).astype(np.int64)
-    names, owner = np.unique(rows, return_inverse=True)
+    follows = np.flatnonzero(np.repeat(place < 0, per_word) & (flags & FOLLOWED > 0))
+    first = a == START
     sums = []
-    for m, one in enumerate((chosen, np.ones(len(b), np.int64))):
-        n = np.add.reduceat(one, word)
+    for m, one in enumerate((flags & CHOSEN, np.ones(len(b), np.uint8))):
+        n = np.add.reduceat(one, word, dtype=np.int64)
         n = np.where(place >= 0, known.counts[m][place] if len(known.hot) else 0, n)
         base = np.repeat(known.base(n, m), per_word)
-        seen = np.repeat(np.add.reduceat(one, pair), per_pair)
-        loss = np.where(a == START, -np.log(base), -np.log(seen + DISCOUNT_MASS * base))
-        loss += np.where(cold & (flags & FOLLOWED > 0), np.log(np.repeat(n, per_word) + DISCOUNT_MASS), 0.0)
-        sums.append(pa.array(np.bincount(owner, loss, minlength=len(names))))
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.zeros(len(names), np.int64)), *sums],
-                                      names=["row", "n", "target", "background"])
+        seen = np.repeat(np.add.reduceat(one, pair, dtype=np.int64), per_pair)
+        loss = -np.log(np.where(first, base, seen + DISCOUNT_MASS * base))
+        loss[follows] += np.repeat(np.log(n + DISCOUNT_MASS), per_word)[follows]
+        sums.append(np.bincount(owner, loss, minlength=int(ends[-1])))
+    for source, rows, end in zip(sources, names, ends.tolist(), strict=True):
+        at = slice(end - len(rows), end)
+        yield _row(source, 0, SUMS, _packed(rows, np.zeros(len(rows), np.int64), sums[0][at], sums[1][at]))
 
 
-def _sums(shared):
+def _part_sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tokens, current = shared.value, [], None
         for batch in batches:
-            for part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for source, part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == SUMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(block, SUM_TYPES)],
-                                                     names=["row", "n", "target", "background"])
+                    yield _row(source, part, kind, block)
                     continue
                 if part != current and tokens:
-                    yield _losses(known, tokens)
+                    yield from _losses(known, tokens)
                     tokens = []
                 current = part
                 hashes, b, a, names, which, flags = _unpacked(block, TOKEN_TYPES)
                 hashes = np.append(hashes, np.uint64(START))
-                tokens.append([hashes[b], hashes[a], names[which], flags])
+                tokens.append((source, names, hashes[b], hashes[a], flags, which))
         if tokens:
-            yield _losses(known, tokens)
+            yield from _losses(known, tokens)
 
     return run
 
 
+def _source_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, current = [], None
+
+    def summed() -> pa.RecordBatch:
+        rows, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, owner = np.unique(rows, return_inverse=True)
+        n, *losses = (np.bincount(owner, x, minlength=len(names)) for x in columns)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64)), *map(pa.array, losses)],
+                                          names=["row", "n", "target", "background"])
+
+    for batch in batches:
+        for source, block in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if source != current and held:
+                yield summed()
+                held = []
+            current = source
+            held.append(_unpacked(block, SUM_TYPES))
+    if held:
+        yield summed()
+
+
 def score_corpus(docs: DataFrame, is_target: str, text: str = "text") -> DataFrame:
     """The rows with ``n_tokens, target_loss, background_loss, difference`` in place of their text.
 
@@ -323,12 +351,10 @@ def score_corpus(docs: DataFrame, is_target: str, text: str = "text") -> DataFra
             pairs[m, found["pair"].to_numpy()] = found[c].to_numpy()
     shared = spark.sparkContext.broadcast(_Known(hot, counts, pairs, totals, max(1, n)))
     parts = max(1, -(-totals[1] // PART))
-    blocks = staged.select("text", "chosen", "row").mapInArrow(
-        _blocks(shared, parts, CHUNK, MEMO), "part int, kind int, block binary")
-    sums = handed.write(
-        blocks.repartition(parts, "part").sortWithinPartitions("part")
-        .mapInArrow(_sums(shared), "row long, n long, target double, background double")
-        .groupBy("row").agg(F.sum("n").alias("n"), *both))
+    blocks = staged.select("text", "chosen", "row").mapInArrow(_blocks(shared, parts, CHUNK, MEMO), BLOCK)
+    back = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_sums(shared), BLOCK)
+    sums = handed.write(back.repartition("source").sortWithinPartitions("source").mapInArrow(
+        _source_sums, "row long, n long, target double, background double"))
     target, background = (F.when(F.col("n") > 0, F.col(c) / F.col("n")) for c in ("target", "background"))
     scored = staged.select("row", "kept").join(sums, "row")
     return scored.select(
