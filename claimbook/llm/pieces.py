@@ -33,7 +33,7 @@ MARK = "▁"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 ALL = (1 << 64) - 1
 SPREAD = 22
-ROWS, BYTES = 2_048, 2 << 20
+ROWS, BYTES = 4_096, 4 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
