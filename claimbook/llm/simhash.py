@@ -30,6 +30,15 @@ RADIUS = 3
 GENERATOR = 0b101011100011  # of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int("".join("1" if 2 * n > len(hashes) else "0" for n in ones), 2)
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """Majority bits of the XXH64 of every word shingle; 0 where there is no word."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
@@ -45,11 +54,7 @@ def fingerprint(text: str, words: int = 3) -> int:
         hashes = np.fromiter(
             (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin, stop, strict=True)), np.uint64, len(begin)
         )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int("".join("1" if 2 * n > len(hashes) else "0" for n in ones), 2)
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:

@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest ``doc_id`` of every group of near copies.
 
-    Near copies share at least 0.8 of their 5-word shingles (Jaccard). Rows with a null
+    Near copies share at least 0.8 of their 5-word shingles (Jaccard); SimHash fingerprints and
+    MinHash bands of these propose the pairs. Rows with a null
     ``doc_id`` go where their group has a named document; of a group without one, one row stays.
     """
     return nearcopies.first_rows(docs)
