@@ -15,7 +15,7 @@ threshold is lowered until the wanted share of those is found.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimbook.llm.tables import plus, slices, texts_of, written
+from claimbook.operators.quantiles import quantile_columns
 
 KINDS = ("assign", "access", "hex", "net")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,7 +41,8 @@ BEFORE, VALUE, AFTER = 24, 32, 8
 WIDTH = BEFORE + VALUE + AFTER
 HEAD = 20
 SYMBOLS, CHANNELS, FILTERS = 128, 8, 16
-SAMPLE = 4_000
+# Up to so many windows are fitted in one place, more in parts of about this size.
+PART, BATCH, LEAST_STEPS = 8_192, 64, 300
 RECALL = 0.95
 # A counterexample whose value is rated like this share of the findings, and at least so, is unsure.
 ALIKE, LIKELY = 0.99, 0.2
@@ -168,53 +170,143 @@ def _recast(codes: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -
     return out
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through raw outputs, by Newton steps on softened labels."""
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x, beta = np.column_stack([z, np.ones_like(z)]), np.array([1.0, 0.0])
-
-    def loss(b: np.ndarray) -> float:
-        eta = x @ b
-        return float(np.sum(np.logaddexp(0, eta) - target * eta))
-
+def _newton(loss: Callable, slopes: Callable) -> tuple[float, float]:
+    """Slope and shift with the least loss, by Newton steps that are halved until the loss falls."""
+    beta = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step, size = np.linalg.solve(hessian, x.T @ (p - target)), 1.0
-        while loss(beta - size * step) > loss(beta) and size > 1e-6:
-            size /= 2
+        gradient, hessian = slopes(beta)
+        step = np.linalg.solve(hessian + 1e-6 * np.eye(2), gradient)
+        sizes = 0.5 ** np.arange(21)
+        now, *then = loss([beta, *[beta - size * step for size in sizes]])
+        size = next((x for x, v in zip(sizes, then, strict=True) if v <= now), sizes[-1])
         beta = beta - size * step
         if np.abs(size * step).max() < 1e-9:
             break
     return float(beta[0]), float(beta[1])
 
 
+def _softened(good: int, bad: int) -> tuple[float, float]:
+    """Targets of findings and counterexamples in the calibration."""
+    return (good + 1) / (good + 2), 1 / (bad + 2)
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through raw outputs, by Newton steps on softened labels."""
+    target = np.where(y == 1, *_softened(y.sum(), (1 - y).sum()))
+    x = np.column_stack([z, np.ones_like(z)])
+
+    def loss(betas: list[np.ndarray]) -> list[float]:
+        return [float(np.sum(np.logaddexp(0, x @ b) - target * (x @ b))) for b in betas]
+
+    def slopes(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
+        return x.T @ (p - target), (x * (p * (1 - p))[:, None]).T @ x
+
+    return _newton(loss, slopes)
+
+
+def _calibrated_rows(rated: DataFrame, good: int, bad: int) -> tuple[float, float]:
+    """The same curve through the rows of ``z, found``, from sums over all of them."""
+    high, low = _softened(good, bad)
+    target = F.when(F.col("found"), F.lit(high)).otherwise(F.lit(low))
+
+    def loss(betas: list[np.ndarray]) -> list[float]:
+        eta = [F.col("z") * float(b[0]) + float(b[1]) for b in betas]
+        each = [F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e))) - target * e for e in eta]
+        return list(rated.agg(*[F.sum(e).alias(f"l{i}") for i, e in enumerate(each)]).first())
+
+    def slopes(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eta = F.greatest(F.least(F.col("z") * float(beta[0]) + float(beta[1]), F.lit(30.0)), F.lit(-30.0))
+        p, z = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)), F.col("z")
+        off, w = p - target, p * (F.lit(1.0) - p)
+        g0, g1, a, b, c = rated.agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate((off * z, off, w * z * z, w * z, w))]).first()
+        return np.array([g0, g1]), np.array([[a, b], [b, c]])
+
+    return _newton(loss, slopes)
+
+
 def _reached(p: np.ndarray, recall: float) -> float:
     """The highest value that the wanted share of ``p`` reaches."""
     return float(np.sort(p)[int(np.floor((1.0 - recall) * len(p)))])
 
 
+def _pass(net: Network, moments: dict, t: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> int:
+    """One pass of Adam over the rows in random order; the number of steps made so far."""
+    order = rng.permutation(len(x))
+    for at in range(0, len(x), BATCH):
+        pick, t = order[at : at + BATCH], t + 1
+        z, kept = net.forward(x[pick])
+        slope = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[pick]) / len(pick)
+        for name, g in net.backward(kept, slope).items():
+            m, v = moments[name]
+            m[...] = 0.9 * m + 0.1 * g
+            v[...] = 0.999 * v + 0.001 * g * g
+            net.weights[name] -= 0.003 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return t
+
+
 def _fitted(x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, seed: int) -> Network:
     """Network fitted by Adam on rows of both labels, each label having half the weight."""
     net, good = Network.fresh(seed), y.sum()
     weight = np.where(y == 1, len(y) / (2 * good), len(y) / (2 * (len(y) - good)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
-    size, t = 64, 0
-    steps = max(300, epochs * len(x) // size)
+    t = 0
+    steps = max(LEAST_STEPS, epochs * len(x) // BATCH)
     while t < steps:
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), size):
-            pick, t = order[at : at + size], t + 1
-            z, kept = net.forward(x[pick])
-            slope = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[pick]) / len(pick)
-            for name, g in net.backward(kept, slope).items():
-                m, v = moments[name]
-                m[...] = 0.9 * m + 0.1 * g
-                v[...] = 0.999 * v + 0.001 * g * g
-                net.weights[name] -= 0.003 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        t = _pass(net, moments, t, x, y, weight, rng)
     return net
 
 
+def _unpacked(state: np.ndarray) -> tuple[Network, dict]:
+    """Network and moments from one row of numbers."""
+    net, at, moments = Network.fresh(0), 0, {}
+    for name, w in net.weights.items():
+        three = state[at : at + 3 * w.size].reshape(3, *w.shape).copy()
+        net.weights[name], moments[name], at = three[0], (three[1], three[2]), at + 3 * w.size
+    return net, moments
+
+
+def _packed(net: Network, moments: dict) -> np.ndarray:
+    return np.concatenate([np.stack([w, *moments[name]]).ravel() for name, w in net.weights.items()])
+
+
+def _fitted_apart(rows: DataFrame, parts: int, good: int, bad: int, epochs: int, seed: int, values: bool) -> Network:
+    """Network fitted on all rows with ``use`` of ``part, seen, found, use``, in rounds of one pass each.
+
+    In a round every part goes on from the common weights and moments with a pass over its own
+    rows, and their means, weighted by rows, are the next common ones. With ``values`` only the
+    values are seen; else the findings are also seen recast into the part's counterexamples.
+    """
+    total = good + bad + (0 if values else good)
+    of_good, of_bad = total / (2 * (total - bad)), total / (2 * bad)
+    fresh = Network.fresh(seed)
+    state = _packed(fresh, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in fresh.weights.items()})
+    rounds = max(epochs, -(-LEAST_STEPS * BATCH * parts // total))
+    for done in range(rounds):
+
+        def go(group: pa.Table, *, state: np.ndarray = state, done: int = done) -> pa.Table:
+            part = group["part"][0].as_py()
+            group = group.sort_by([("seen", "ascending"), ("found", "ascending")])
+            codes = codes_of(b"".join(group["seen"].to_pylist()))
+            found, use = (group[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("found", "use"))
+            x, y = codes[use], found[use].astype(int)
+            if values:
+                x = _alone(x)
+            else:
+                again = _recast(x[y == 1], codes[~found], np.random.default_rng([seed, part]))
+                x, y = np.concatenate([x, again]), np.concatenate([y, np.ones(len(again), int)])
+            net, moments = _unpacked(state)
+            _pass(net, moments, done * -(-len(x) // BATCH), x, y, np.where(y == 1, of_good, of_bad),
+                  np.random.default_rng([seed, part, done]))
+            return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([len(x)], pa.int64()),
+                             "state": pa.array([_packed(net, moments).tobytes()], pa.binary())})
+
+        said = sorted(rows.groupBy("part").applyInArrow(go, "part long, n long, state binary").collect())
+        share = np.array([r["n"] for r in said]) / sum(r["n"] for r in said)
+        state = sum(w * np.frombuffer(bytes(r["state"])) for w, r in zip(share, said, strict=True))
+    return _unpacked(state)[0]
+
+
 def _alone(codes: np.ndarray) -> np.ndarray:
     """Values without what stands around them."""
     out = np.zeros_like(codes)
@@ -296,8 +388,70 @@ def _prepared(rows: DataFrame, text: str) -> DataFrame:
     return written(rows.mapInArrow(prepare, schema))
 
 
-def fit(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL, seed: int = 3) -> Network | None:
-    """Network from at most ``sample`` distinct findings and as many counterexamples, picked by hash."""
+def _rates(nets: tuple[Network, Network], values: bool, calibrated: bool):
+    """``seen, marked, found, half`` with the output for each window of the network of its half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2_048):
+            codes = codes_of(b"".join(batch.column(0).to_pylist()))
+            codes = _alone(codes) if values else codes
+            half = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            out = np.zeros(len(codes))
+            for h in (False, True):
+                if (half == h).any():
+                    net, own = nets[h], codes[half == h]
+                    out[half == h] = net.probabilities(own) if calibrated else net.forward(own)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "z"])
+
+    return run
+
+
+def _reached_rows(rows: DataFrame, n: int, recall: float) -> float:
+    """The highest ``z`` of ``n`` rows that the wanted share reaches, less a margin for rounding."""
+    at = min(1.0, int(np.floor((1.0 - recall) * n)) / max(1, n - 1))
+    return float(quantile_columns(rows, "z", {"q": at}).first()["q"]) - 1e-9
+
+
+def _train_rows(each: DataFrame, n: int, recall: float, seed: int, part: int, epochs: int = 8) -> Network | None:
+    """What ``train`` does, on all rows of a table of any size: parts fit, sums calibrate, exact ranks set thresholds."""
+    parts = -(-n // part)
+    rows = written(each.withColumn("part", F.pmod(F.xxhash64("seen", "marked", F.lit(seed)), F.lit(parts))).withColumn(
+        "half", F.pmod(F.xxhash64("seen", "marked", "found", F.lit(seed + 1)), F.lit(2)) == 0))
+
+    def counted(df: DataFrame, by: str) -> dict[tuple[bool, bool], int]:
+        count = {(r[by], r["found"]): r["count"] for r in df.groupBy(by, "found").count().collect()}
+        return {(b, f): count.get((b, f), 0) for b in (False, True) for f in (False, True)}
+
+    halves = counted(rows, "half")
+    if not (all(counted(rows, "aside").values()) and all(halves.values())):
+        return None
+    nets = tuple(_fitted_apart(rows.filter(F.col("half") != h).withColumn("use", F.lit(True)), parts, halves[not h, True],
+                               halves[not h, False], 4, seed, True) for h in (False, True))
+    schema = plus(rows.select("seen", "marked", "found", "half", "aside", "part").schema, "z double")
+    likely = written(rows.select("seen", "marked", "found", "half", "aside", "part").mapInArrow(_rates(nets, True, True), schema))
+    level = max(LIKELY, _reached_rows(likely.filter("found"), halves[False, True] + halves[True, True], ALIKE))
+    sure = likely.withColumn("use", F.col("found") | (F.col("z") < level)).drop("z")
+    held = counted(sure.filter("use"), "aside")
+    if not all(held.values()):
+        return None
+    fitted = sure.filter(~F.col("aside"))
+    net = _fitted_apart(fitted, parts, held[False, True], held[False, False], epochs, seed, False)
+    kept = sure.filter("aside and use").select("seen", "marked", "found", "half")
+    raw = written(kept.mapInArrow(_rates((net, net), False, False), plus(kept.schema, "z double")).drop("seen"))
+    net.slope, net.shift = _calibrated_rows(raw, held[True, True], held[True, False])
+    found = raw.filter("found").withColumn("z", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(
+        F.col("z") * net.slope + net.shift, F.lit(50.0)), F.lit(-50.0)))))
+    chosen = []
+    for c in (False, True):
+        own = found.filter(F.col("marked") == c)
+        few = (size := own.count()) < 20
+        chosen.append(min(0.5, _reached_rows(found if few else own, held[True, True] if few else size, recall)))
+    net.thresholds = (chosen[0], chosen[1])
+    return net
+
+
+def fit(prepared: DataFrame, recall: float = RECALL, seed: int = 3, part: int = PART) -> Network | None:
+    """Network from all distinct findings and counterexamples; more than ``part`` are fitted in parts of about that size."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,9 +463,11 @@ def fit(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL, seed:
 
     each = prepared.select("places", "windows").mapInArrow(unfold, "seen binary, marked boolean, found boolean").distinct()
     value = F.substring("seen", BEFORE + 1, VALUE)
-    drawn = each.withColumn("draw", F.xxhash64("seen", F.lit(seed))).withColumn("aside", F.pmod(F.xxhash64(value), F.lit(5)) == 0)
-    parts = [drawn.filter(F.col("found") == f).orderBy("draw", "seen", "marked").limit(sample).toArrow() for f in (True, False)]
-    picked = pa.concat_tables(parts)
+    each = written(each.withColumn("aside", F.pmod(F.xxhash64(value), F.lit(5)) == 0))
+    n = each.count()
+    if n > part:
+        return _train_rows(each, n, recall, seed, part)
+    picked = each.orderBy(F.desc("found"), F.xxhash64("seen", F.lit(seed)), "seen", "marked").toArrow()
     if picked.num_rows == 0:
         return None
     codes = codes_of(b"".join(picked["seen"].to_pylist()))
@@ -319,7 +475,7 @@ def fit(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL, seed:
     return train(codes, label.astype(int), marked, aside, recall, seed=seed)
 
 
-def scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE, recall: float = RECALL, seed: int = 3) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", recall: float = RECALL, seed: int = 3, part: int = PART) -> DataFrame:
     """The rows, less their text, with the secrets found in it.
 
     ``n_assign, n_access, n_hex`` count the findings of the rules, ``base_sha256`` is the digest
@@ -334,7 +490,7 @@ def scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE, recall: floa
     """
     rows = docs.drop(*[c for c in RESULT if c != text])
     prepared = _prepared(rows, text)
-    net = fit(prepared, sample, recall, seed)
+    net = fit(prepared, recall, seed, part)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
