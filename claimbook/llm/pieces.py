@@ -33,7 +33,8 @@ MARK = "▁"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 ALL = (1 << 64) - 1
 SPREAD = 22
-ROWS, BYTES = 2_048, 2 << 20
+ROWS, BYTES = 2_048, 1 << 20
+ADDED = ("sample", "ids", "log_p", "perturbed", "inclusion", "round_trip")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -180,6 +181,7 @@ class Lattice:
             found.append((width, at[hit], piece))
             if width == 1:
                 single[found[0][1]] = True
+        del at, h
         bare = np.flatnonzero(~single)
         found.append((1, bare, (vocab.size + c[bare].astype(np.int64)).astype(np.int32)))
         degree = sum((np.bincount(src, minlength=n) for _, src, _ in found), np.zeros(n, np.int64))
@@ -187,7 +189,9 @@ class Lattice:
         total = int(self.first[-1])
         self.piece, self.end = np.empty(total, np.int32), np.empty(total, np.int32)
         weight, free = np.empty(total), self.first[:-1].copy()
-        for width, src, piece in sorted(found, key=lambda x: -x[0]):  # long pieces first
+        found.sort(key=lambda x: x[0])
+        while found:  # long pieces first
+            width, src, piece = found.pop()
             place = free[src]
             self.piece[place] = piece
             self.end[place] = np.where(rest[src] == width, n, src + width)  # n is the sink
@@ -271,12 +275,14 @@ class Search:
             units = vocab.units(text)
             count.append(len(units))
             code.extend(map(seen.__getitem__, units))
-        self.vocab, self.lattice = vocab, Lattice(vocab, list(seen))
+        word, units = np.array(code, np.int32), list(seen)
+        del code, seen
+        self.vocab, self.lattice = vocab, Lattice(vocab, units)
         self.count = np.array(count, np.int64)
         self.base = np.cumsum(self.count) - self.count
         self.owner = np.repeat(np.arange(len(texts)), self.count)
-        self.index = (np.arange(len(code)) - self.base[self.owner]).astype(np.uint64)
-        self.node = self.lattice.start[np.array(code, np.int64)]
+        self.index = (np.arange(len(word)) - self.base[self.owner]).astype(np.uint64)
+        self.node = self.lattice.start[word]
         self.seeds = seeds
         self.samples: list[dict] = []
         self.taken: dict[tuple[int, int], list[list[int]]] = {}
@@ -425,6 +431,38 @@ class Search:
         return ids, np.bincount(owner, minlength=len(self.count))
 
 
+def _sampled(vocab: Vocabulary, batch: pa.RecordBatch, position: int, key_at: int, k: int,
+             seed: int) -> Iterator[pa.RecordBatch]:
+    """The samples of one slice; what it holds is freed before the next slice is begun."""
+    texts = texts_of(batch.column(position))
+    names = ["null" if x is None else str(x) for x in batch.column(key_at).to_pylist()]
+    seeds = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in names], np.uint64)
+    search = Search(vocab, texts, seeds)
+    samples, kappa = search.run(k)
+    kept = [i for i in range(batch.num_columns) if i != position]
+    for number, sample in enumerate(samples, 1):
+        ids, count = search.pieces(sample)
+        has = np.flatnonzero(sample["has"])
+        ends = np.concatenate([[0], np.cumsum(count)])
+        same = [vocab.decode(ids[ends[t] : ends[t + 1]].tolist()) == texts[t].replace(MARK, " ") for t in has.tolist()]
+        log_p = np.bincount(search.owner, sample["log_p"], minlength=len(count)).astype(np.float64)
+        with np.errstate(over="ignore"):
+            inclusion = -np.expm1(-np.exp(log_p - kappa))
+        picked = batch.take(pa.array(has))
+        # texts without this sample hold no ids, so the offsets of the others still fit
+        spans = np.concatenate([ends[:-1][has], ends[-1:]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[picked.column(i) for i in kept],
+                pa.array(np.full(len(has), number, np.int32)),
+                pa.ListArray.from_arrays(pa.array(spans), pa.array(ids)),
+                pa.array(log_p[has]), pa.array(sample["top"][has]), pa.array(inclusion[has]),
+                pa.array(same, pa.bool_()),
+            ],
+            names=[*[batch.schema.names[i] for i in kept], *ADDED],
+        )
+
+
 def sample_segmentations(docs: DataFrame, path: str, k: int = 2, seed: int = 11, key: str = "doc_id",
                          text: str = "text") -> DataFrame:
     """Up to ``k`` distinct segmentations of every text, in place of the text.
@@ -440,42 +478,13 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, seed: int = 11,
     fewer rows; sets that hold less than 1e-12 of a unit's mass count as empty. Texts of any
     length are read whole. Existing columns of the added names are replaced.
     """
-    added = ("sample", "ids", "log_p", "perturbed", "inclusion", "round_trip")
-    rows = docs.drop(*added)
+    rows = docs.drop(*ADDED)
     position, key_at = rows.columns.index(text), rows.columns.index(key)
-    kept = [i for i in range(len(rows.columns)) if i != position]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in slices(batches, ROWS, BYTES):
-            texts = texts_of(batch.column(position))
-            names = ["null" if x is None else str(x) for x in batch.column(key_at).to_pylist()]
-            seeds = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in names], np.uint64)
-            search = Search(vocab, texts, seeds)
-            samples, kappa = search.run(k)
-            plain = [t.replace(MARK, " ") for t in texts]
-            for number, sample in enumerate(samples, 1):
-                ids, count = search.pieces(sample)
-                has = np.flatnonzero(sample["has"])
-                ends = np.concatenate([[0], np.cumsum(count)])
-                listed = ids.tolist()
-                same = [vocab.decode(listed[ends[t] : ends[t + 1]]) == plain[t] for t in has.tolist()]
-                log_p = np.bincount(search.owner, sample["log_p"], minlength=len(count)).astype(np.float64)
-                with np.errstate(over="ignore"):
-                    inclusion = -np.expm1(-np.exp(log_p - kappa))
-                picked = batch.take(pa.array(has))
-                # texts without this sample hold no ids, so the offsets of the others still fit
-                spans = np.concatenate([ends[:-1][has], ends[-1:]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[picked.column(i) for i in kept],
-                        pa.array(np.full(len(has), number, np.int32)),
-                        pa.ListArray.from_arrays(pa.array(spans), pa.array(ids)),
-                        pa.array(log_p[has]), pa.array(sample["top"][has]), pa.array(inclusion[has]),
-                        pa.array(same, pa.bool_()),
-                    ],
-                    names=[*[batch.schema.names[i] for i in kept], *added],
-                )
+            yield from _sampled(vocab, batch, position, key_at, k, seed)
 
     return rows.mapInArrow(run, plus(
         rows.drop(text).schema,
